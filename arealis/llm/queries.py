@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op10_media
+from .pii import op8_pii
+from .quality import op4_quality
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality,
+    "op8_pii_spans": op8_pii,
+    "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media,
 }
 
