@@ -44,11 +44,10 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def to_image(payload: bytes) -> bytes:
-    """The payload as an 8-bit greyscale PNG, WIDTH samples a line; lossless, and equal
-    payloads give equal bytes."""
-    lines = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    body = zlib.compress(np.pad(lines, ((0, 0), (1, 0))).tobytes(), 1)
-    head = struct.pack(">IIBBBBB", WIDTH, len(lines), 8, 0, 0, 0, 0)
+    """The payload as one line of an 8-bit greyscale PNG; lossless, and equal payloads give
+    equal bytes."""
+    body = zlib.compress(b"\0" + payload, 6)
+    head = struct.pack(">IIBBBBB", len(payload), 1, 8, 0, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", body) + _chunk(b"IEND", b"")
 
 
@@ -81,14 +80,16 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_shards(payloads: DataFrame, root: str, shard_bytes: int = 256 << 20, partitions: int | None = None) -> DataFrame:
+def write_shards(payloads: DataFrame, root: str, shard_bytes: int = 256 << 20, pack_bytes: int = 1 << 20) -> DataFrame:
     """Store ``payloads(digest string, media binary)`` in tar shards under ``root``.
 
     Returns (digest, shard, offset, length), a row a distinct digest. Equal digests meet
     in one partition, sorted, and the first is stored. A shard is written under its
     attempt's own name and then moved, so that a task which runs again after the loss of
-    an executor replaces what the first attempt left. Memory: one shard's open buffer of
-    at most 8 MB and one payload.
+    an executor replaces what the first attempt left. Payloads share tar members of about
+    ``pack_bytes``, named by their first digest: a member of its own would cost a small
+    payload more than its size in tar's headers and padding. Memory: one pack, one
+    payload and a buffer of 8 MB.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +99,8 @@ def write_shards(payloads: DataFrame, root: str, shard_bytes: int = 256 << 20, p
 
         part, fs, base = TaskContext.get().partitionId(), *_filesystem(root)
         fs.create_dir(base, recursive=True)
-        out, tar, raw, at, n, last, attempt = [], None, None, 0, 0, None, uuid.uuid4().hex
+        tar, raw, at, n, last, attempt = None, None, 0, -1, None, uuid.uuid4().hex
+        pack: list[tuple[str, bytes]] = []
 
         def close():
             if tar is not None:
@@ -106,28 +108,40 @@ def write_shards(payloads: DataFrame, root: str, shard_bytes: int = 256 << 20, p
                 raw.close()
                 fs.move(f"{base}/.{attempt}-{n}", f"{base}/{part:06d}-{n:04d}.tar")
 
+        def add():
+            nonlocal tar, raw, at, n
+            if tar is None or at > shard_bytes:
+                close()
+                n += 1
+                raw, at = fs.open_output_stream(f"{base}/.{attempt}-{n}", buffer_size=8 << 20), 0
+                tar = tarfile.open(fileobj=raw, mode="w|", bufsize=1 << 20)
+            body = b"".join(m for _, m in pack)
+            info = tarfile.TarInfo(pack[0][0])
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+            starts = at + 512 + np.cumsum([0, *(len(m) for _, m in pack)])
+            at += 512 + -(-len(body) // 512) * 512
+            out = pd.DataFrame({"digest": [d for d, _ in pack], "shard": f"{part:06d}-{n:04d}.tar", "offset": starts[:-1], "length": np.diff(starts)})
+            pack.clear()
+            return out
+
+        size = 0
         for batch in batches:
             for digest, media in zip(batch["digest"], batch["media"], strict=True):
                 if digest == last:
                     continue
                 last = digest
-                if tar is None or at > shard_bytes:
-                    close()
-                    n += tar is not None
-                    raw, at = fs.open_output_stream(f"{base}/.{attempt}-{n}", buffer_size=8 << 20), 0
-                    tar = tarfile.open(fileobj=raw, mode="w|", bufsize=1 << 20)
-                info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(media)
-                tar.addfile(info, io.BytesIO(media))
-                out.append((digest, f"{part:06d}-{n:04d}.tar", at + 512, len(media)))
-                at += 512 + -(-len(media) // 512) * 512
-            yield pd.DataFrame(out, columns=["digest", "shard", "offset", "length"])
-            out = []
+                pack.append((digest, media))
+                size += len(media)
+                if size >= pack_bytes:
+                    yield add()
+                    size = 0
+        if pack:
+            yield add()
         close()
 
     kept = payloads.select("digest", "media")
-    kept = kept.repartition(partitions, "digest") if partitions else kept.repartition("digest")
-    return kept.sortWithinPartitions("digest").mapInPandas(write, "digest string, shard string, offset long, length long")
+    return kept.repartition("digest").sortWithinPartitions("digest").mapInPandas(write, "digest string, shard string, offset long, length long")
 
 
 def read_metadata(index: DataFrame, root: str) -> DataFrame:
