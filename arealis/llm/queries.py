@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import op7_html
 from .media import op10_media
 from .pii import op8_pii
 from .quality import op4_quality
@@ -13,6 +14,7 @@ from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality,
+    "op7_html_text": op7_html,
     "op8_pii_spans": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_media_columns": op10_media,
