@@ -31,9 +31,13 @@ from pyspark.sql import functions as F
 from .common import documents
 
 SEGMENT = re.compile(r" [^ \n]*|\n|[^ \n]+")
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 1_000_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0xD6E8FEB86659FD93)
+#: ``uniform`` has 53 bits, so Gumbel noise lies in (-NOISE, NOISE_MOST): a node whose set
+#: weighs less than the k-th best by more than that cannot be among the k best. Nodes are
+#: valued for the NEAR first decisions and, only where that doesn't settle it, for all.
+NOISE, NOISE_MOST, NEAR = math.log(37.5), 37.5, 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,49 +145,59 @@ class Lattice:
         self.code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(self.code)
         left = np.repeat(self.end, sizes + 1) - np.arange(n)  # characters from a state to its segment's end
-        width = max(1, min(v.longest, int(sizes.max(initial=1))))
-        self.piece = np.full((n, width), -1, dtype=np.int32)
-        weight = np.full((n, width), -np.inf)
-        live, h = np.flatnonzero(left > 0), None
+        live, edges = np.flatnonzero(left > 0).astype(np.int32), []
         h = np.zeros(len(live), np.uint64)
-        for k in range(width):
+        for k in range(v.longest):
             fits = left[live] > k
             live, h = live[fits], h[fits]
             with np.errstate(over="ignore"):
                 h = h * BASE + self.code[live + k] + np.uint64(1)
             hit, value = v.find(h)
             live, h, value = live[hit], h[hit], value[hit]
-            self.piece[live, k] = v.ids[value]
-            weight[live, k] = v.weights[value]
+            full = value >= 0
+            edges.append((live[full], value[full]))
+            if not len(live):
+                break
+        while len(edges) > 1 and not len(edges[-1][0]):
+            edges.pop()
+        width = len(edges)
+        self.piece = np.full((n, width), -1, dtype=np.int32)
+        weight = np.full((n, width), -np.inf, dtype=np.float32)
+        for k, (at, value) in enumerate(edges):
+            self.piece[at, k] = v.ids[value]
+            weight[at, k] = v.weights[value]
         bare = np.flatnonzero((self.piece[:, 0] < 0) & (left > 0))  # characters that only byte pieces spell
         code = self.code[bare].astype(np.int64)
         n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         self.piece[bare, 0] = np.where(code < 0x80, v.byte_ids[np.minimum(code, 0x7F)], -code - 2)
         weight[bare, 0] = v.byte_weight * n_bytes
-        back = np.zeros(n)
+        back, steps = np.zeros(n), np.arange(1, width + 1)
         order = np.argsort(left, kind="stable")
         bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
         for d in range(len(bounds) - 1):
             at = order[bounds[d] : bounds[d + 1]]
             k = min(width, d + 1)
-            total = weight[at, :k] + back[at[:, None] + np.arange(1, k + 1)]
+            total = weight[at, :k] + back[at[:, None] + steps[:k]]
             top = total.max(1)
-            back[at] = top + np.log(np.exp(total - top[:, None]).sum(1))
-        following = back[np.minimum(np.arange(n)[:, None] + np.arange(1, width + 1), n - 1)]
-        with np.errstate(invalid="ignore"):
-            self.chance = np.where(self.piece != -1, np.exp(weight + following - back[:, None]), 0.0)
-        self.sums = np.cumsum(self.chance, axis=1).astype(np.float32)
+            total -= top[:, None]
+            back[at] = top + np.log(np.exp(total, out=total).sum(1))
+        self.chance = np.empty((n, width), dtype=np.float32)
+        padded = np.concatenate([back, np.zeros(width)])
+        for k in range(width):  # a column at a time keeps the working set small
+            with np.errstate(invalid="ignore"):
+                self.chance[:, k] = np.exp(weight[:, k] + padded[k + 1 : k + 1 + n] - back)
+        self.sums = np.cumsum(self.chance, axis=1)
         self.width = width
 
 
 class Paths:
-    """One segmentation of each document of a block: states, lengths and log-probabilities
-    of its decisions, documents one after another."""
+    """One segmentation of each document of a block: states and lengths of its decisions,
+    documents one after another."""
 
-    __slots__ = ("before", "length", "offset", "state")
+    __slots__ = ("length", "offset", "state")
 
-    def __init__(self, state, length, before, offset):
-        self.state, self.length, self.before, self.offset = state, length, before, offset
+    def __init__(self, state, length, offset):
+        self.state, self.length, self.offset = state, length, offset
 
 
 def _walk(lat: Lattice, state: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +271,7 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
                     old, i = rounds[r], row_of[r][d]
                     o = old.offset[i]
                     s = int(old.state[o + t])
-                    odds = lat.chance[s].copy()
+                    odds = lat.chance[s].astype(np.float64)
                     odds[[x for x in range(lat.width) if taken >> x & 1]] = 0
                     u = float(uniform(salt[d : d + 1] ^ M2)[0])
                     new = int(np.searchsorted(np.cumsum(odds), u * odds.sum(), side="right"))
@@ -284,37 +298,52 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
         length = np.concatenate([x for i in range(len(todo)) for x in (heads_k[i], lengths[cuts[i] : cuts[i + 1]])])
         n_heads = np.array([len(x) for x in heads_s])
         offset = np.concatenate([[0], np.cumsum(n_heads + walked)])
-        odds = lat.chance[state]
-        here = np.arange(len(state))
-        log = np.log(odds[here, length])
-        odds[here, length] = 0
-        for i in range(len(todo)):
-            if n_heads[i]:
-                at = offset[i] + n_heads[i] - 1
-                odds[at, [x for x in range(lat.width) if heads_taken[i] >> x & 1]] = 0
-        beside = odds.sum(1)
-        del odds
-        run = np.cumsum(log)
-        owner = np.repeat(np.arange(len(todo)), np.diff(offset))
-        before = run - log - np.concatenate([[0.0], run])[offset[:-1]][owner]
-        total = np.concatenate([[0.0], run])[offset[1:]] - np.concatenate([[0.0], run])[offset[:-1]]
-        rounds.append(Paths(state, length, before, offset))
-        if rank < k:
+        log = np.log(lat.chance[state, length].astype(np.float64))
+        run = np.concatenate([[0.0], np.cumsum(log)])
+        n_todo = len(todo)
+        bound = np.array(value)
+
+        def values(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Perturbed values of the new nodes at decisions lo..hi of each document, and
+            the least that they could have been drawn as, with where each document begins."""
+            n = hi - lo
+            begin = np.concatenate([[0], np.cumsum(n)])
+            owner = np.repeat(np.arange(n_todo), n)
+            at = np.arange(begin[-1]) - np.repeat(begin[:-1] - lo, n)
+            odds = lat.chance[state[at]]
+            odds[np.arange(len(at)), length[at]] = 0
+            for i in range(n_todo):
+                if n_heads[i] and n[i] and heads_taken[i]:
+                    odds[begin[i], [x for x in range(lat.width) if heads_taken[i] >> x & 1]] = 0
             with np.errstate(divide="ignore", over="ignore"):
-                mass = before + np.log(beside)
-                noise = -np.log(uniform(np.repeat(salt[todo] ^ M1, np.diff(offset)) + (here - offset[:-1][owner]).astype(np.uint64) * M2))
-                bound = np.array(value)[owner]
-                # log(noise + exp(mass - bound)) without overflow
-                g = np.where(np.isfinite(mass), mass - np.logaddexp(np.log(noise), mass - bound), -np.inf)
+                mass = run[at] - run[offset[:-1]][owner] + np.log(odds.sum(1, dtype=np.float64))
+                noise = np.log(-np.log(uniform((salt[todo] ^ M1)[owner] + (at - offset[:-1][owner]).astype(np.uint64) * M2)))
+                over = mass - bound[owner]
+                g = np.where(mass > -np.inf, mass - np.logaddexp(noise, over), -np.inf)
+                least = np.where(mass > -np.inf, mass - np.logaddexp(NOISE, over), -np.inf)
+            return g, least, begin
+
+        los = offset[:-1] + np.maximum(0, n_heads - 1)
+        his = np.minimum(offset[1:], los + NEAR)
+        g, least, begin = values(los, his)
+        need, open_docs = k - rank, np.zeros(n_todo, bool)
+        for i in range(n_todo):
+            if his[i] < offset[i + 1]:
+                some = least[begin[i] : begin[i + 1]]
+                kth = np.partition(some, -need)[-need] if len(some) >= need else -np.inf
+                open_docs[i] = run[his[i]] - run[offset[i]] + NOISE_MOST >= kth
+        rest_g, _, rest_begin = values(his, np.where(open_docs, offset[1:], his))
+        rounds.append(Paths(state, length, offset))
         for i, d in enumerate(todo):
-            lo, hi = offset[i] + max(0, n_heads[i] - 1), offset[i + 1]
-            scores[d].append((float(total[i]), value[i]))
+            lo, hi = int(los[i]), int(offset[i + 1])
+            scores[d].append((float(run[hi] - run[offset[i]]), value[i]))
             ids = lat.piece[state[offset[i] : hi], length[offset[i] : hi]]
             if ids.size and ids.min() < 0:
                 ids = np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else v.byte_ids[list(chr(-x - 2).encode("utf-8", "surrogatepass"))])], dtype=np.int32)
             out[d].append(ids)
-            part = g[lo:hi]
-            need = k - rank
+            part = g[begin[i] : begin[i + 1]]
+            if open_docs[i]:
+                part = np.concatenate([part, rest_g[rest_begin[i] : rest_begin[i + 1]]])
             best = np.argpartition(part, -need)[-need:] if len(part) > need else np.arange(len(part))
             for j in best.tolist():
                 if part[j] > -np.inf:
@@ -348,7 +377,7 @@ def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str |
     without pieces. A text with fewer than ``k`` segmentations gives all it has, each with
     inclusion 1. Blanks are word starts, other characters outside the vocabulary are
     spelt by byte pieces, so that every text decodes to itself. No piece crosses a blank
-    or a line end. Blocks of about 1.5 million characters bound memory; a longer text is a
+    or a line end. Blocks of about a million characters bound memory; a longer text is a
     block of its own. An empty table gives an empty result; other columns are ignored.
     """
     pieces = load_pieces(path)
