@@ -84,3 +84,55 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
+
+
+def link_buckets(members: DataFrame, verify, small: int = 12, factor: int = 8) -> DataFrame | None:
+    """Links between the members of each bucket, enough of them that no component is lost.
+
+    ``members(bucket long, id long)``; ``verify(pairs(a, b))`` returns the pairs that are
+    links. Returns a table (id, component) of linked ids, or None if there is no bucket.
+
+    Not all pairs of a bucket are made. A bucket of at most ``small`` members is compared
+    whole. In a larger one, all members meet a few pivots, chosen by hash: one, then
+    ``factor``, then ``factor`` squared, up to all of them. What is in one component
+    already meets no more, and a bucket whose members are all in one component is done.
+    So a group of near copies ends after a round or two, at a cost in proportion to its
+    size, and yet every two members of a bucket have met or are connected when the rounds
+    end. The pivots are picked by hash without sorting a bucket, and the join of members
+    and pivots can be split where a bucket is hot.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    rows = cut(members.join(sizes, "bucket").select("bucket", "id", "size"), "buckets")
+    largest = rows.agg(F.max("size")).first()[0]
+    if largest is None:
+        return None
+    links, labels, tested, pivots = None, None, None, 1
+    first = True
+    while True:
+        here = rows if first else rows.where(F.col("size") > small)
+        if not first:
+            here = here.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("label"))
+            open_ = here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+            here = cut(here.join(open_, "bucket"), "open")
+        else:
+            here = here.withColumn("label", F.col("id"))
+        share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 30)) * F.col("size")
+        chosen = here.where((F.col("size") <= small) | (share < F.lit(pivots << 30)))
+        pairs = (
+            here.alias("m").join(chosen.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.label") != F.col("p.label")) & (F.col("m.id") != F.col("p.id")))
+            .select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct()
+        )
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "pairs")
+        found = cut(verify(pairs).select("a", "b"), "links")
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = components(links)
+        if pivots >= largest:  # a share of 1: all members were pivots
+            return labels
+        first, pivots = False, pivots * factor
+        still = rows.where(F.col("size") > small).join(labels, "id", "left").groupBy("bucket").agg(F.min(F.coalesce("component", "id")).alias("lo"), F.max(F.coalesce("component", "id")).alias("hi"), F.max("size").alias("size")).where("lo <> hi")
+        largest = still.agg(F.max("size")).first()[0]
+        if largest is None:
+            return labels

@@ -37,7 +37,7 @@ BASE = np.uint64(0xD6E8FEB86659FD93)
 #: ``uniform`` has 53 bits, so Gumbel noise lies in (-NOISE, NOISE_MOST): a node whose set
 #: weighs less than the k-th best by more than that cannot be among the k best. Nodes are
 #: valued for the NEAR first decisions and, only where that doesn't settle it, for all.
-NOISE, NOISE_MOST, NEAR = math.log(37.5), 37.5, 128
+NOISE, NOISE_MOST, NEAR = math.log(37.5), 37.5, 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -302,6 +302,7 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
         run = np.concatenate([[0.0], np.cumsum(log)])
         n_todo = len(todo)
         bound = np.array(value)
+        los = offset[:-1] + np.maximum(0, n_heads - 1)
 
         def values(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Perturbed values of the new nodes at decisions lo..hi of each document, and
@@ -313,7 +314,7 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
             odds = lat.chance[state[at]]
             odds[np.arange(len(at)), length[at]] = 0
             for i in range(n_todo):
-                if n_heads[i] and n[i] and heads_taken[i]:
+                if heads_taken[i] and n[i] and lo[i] == los[i]:
                     odds[begin[i], [x for x in range(lat.width) if heads_taken[i] >> x & 1]] = 0
             with np.errstate(divide="ignore", over="ignore"):
                 mass = run[at] - run[offset[:-1]][owner] + np.log(odds.sum(1, dtype=np.float64))
@@ -323,7 +324,6 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
                 least = np.where(mass > -np.inf, mass - np.logaddexp(NOISE, over), -np.inf)
             return g, least, begin
 
-        los = offset[:-1] + np.maximum(0, n_heads - 1)
         his = np.minimum(offset[1:], los + NEAR)
         g, least, begin = values(los, his)
         need, open_docs = k - rank, np.zeros(n_todo, bool)
