@@ -12,11 +12,13 @@ from .neardup import op2_near_duplicates
 from .pieces import op1_pieces
 from .pii import op8_pii
 from .quality import op4_quality
+from .suffix import op3_suffix
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_pieces,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_suffix_dedup": op3_suffix,
     "op4_quality_rules": op4_quality,
     "op7_html_text": op7_html,
     "op8_pii_spans": op8_pii,
