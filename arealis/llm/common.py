@@ -51,34 +51,23 @@ def free(spark: SparkSession) -> None:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(id, component)``.
 
-    Distributed union-find by label propagation with pointer jumping: every node holds
-    the smallest id it knows; a round takes the smallest label of the neighbours and then
-    follows the label's own label. Both steps are grouped minima, which combine before
-    the shuffle, so a hub with a third of all edges is no single task's work. Only ids
-    that have an edge appear. Raises RuntimeError if ``max_rounds`` do not suffice, so
-    that a partial answer is never returned.
+    Distributed union-find by label propagation: every node holds the smallest id it
+    knows and takes the smallest label among its neighbours and itself; from the third
+    round on it also follows its label's own label, so long chains shrink by half a round.
+    A round is one join and one grouped minimum, which combines before the shuffle, so a
+    hub with a third of all edges is no single task's work. Only ids that have an edge
+    appear. Raises RuntimeError if ``max_rounds`` do not suffice, so that a partial answer
+    is never returned.
     """
-    both = cut(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels, both.b == labels.id)
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("near"))
-        )
-        hooked = labels.join(near, "id").select(
-            "id", F.least("component", "near").alias("next"), F.col("component").alias("before")
-        )
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        new = cut(
-            hooked.join(jump, "next", "left").select(
-                "id", F.least("next", F.coalesce("far", "next")).alias("component"), "before"
-            ),
-            "labels",
-        )
+    both = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))])).alias("e")).select("e.a", "e.b")
+    both = cut(both.distinct(), "edges")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    for i in range(max_rounds):
+        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("before"))
+        if i >= 2:
+            far = near.select(F.col("id").alias("component"), F.col("component").alias("far"))
+            near = near.join(far, "component", "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "before")
+        new = cut(near, "labels")
         moved = new.where("component <> before").limit(1).count()
         labels = new.select("id", "component")
         if not moved:
@@ -86,53 +75,43 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
 
 
-def link_buckets(members: DataFrame, verify, small: int = 12, factor: int = 8) -> DataFrame | None:
-    """Links between the members of each bucket, enough of them that no component is lost.
+def link_buckets(members: DataFrame, verify, small: int = 32, factor: int = 64) -> DataFrame | None:
+    """Components of the links between members of each bucket; no component is lost.
 
-    ``members(bucket long, id long)``; ``verify(pairs(a, b))`` returns the pairs that are
-    links. Returns a table (id, component) of linked ids, or None if there is no bucket.
+    ``members(bucket, id, size, first)`` has the members of buckets of two and more, with
+    the bucket's size and smallest id; ``verify(pairs(a, b))`` returns the pairs that are
+    links. Returns a table (id, component) of linked ids, or None if there are no links.
 
     Not all pairs of a bucket are made. A bucket of at most ``small`` members is compared
-    whole. In a larger one, all members meet a few pivots, chosen by hash: one, then
-    ``factor``, then ``factor`` squared, up to all of them. What is in one component
-    already meets no more, and a bucket whose members are all in one component is done.
-    So a group of near copies ends after a round or two, at a cost in proportion to its
-    size, and yet every two members of a bucket have met or are connected when the rounds
-    end. The pivots are picked by hash without sorting a bucket, and the join of members
-    and pivots can be split where a bucket is hot.
+    whole. In a larger one all members meet a few pivots: its first member, then about
+    ``factor`` members picked by hash, then ``factor`` times as many, up to all. What is in
+    one component already meets no more, and a bucket whose members are all in one
+    component is done. So a group of near copies ends after a round or two, at a cost in
+    proportion to its size, and yet every two members of a bucket have met or are
+    connected when the rounds end. Pivots are picked without sorting a bucket, and the
+    join of members and pivots can be split where a bucket is hot.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = cut(members.join(sizes, "bucket").select("bucket", "id", "size"), "buckets")
-    largest = rows.agg(F.max("size")).first()[0]
-    if largest is None:
-        return None
-    links, labels, tested, pivots = None, None, None, 1
-    first = True
+    spark, links, labels, pivots = members.sparkSession, None, None, 1
     while True:
-        here = rows if first else rows.where(F.col("size") > small)
-        if not first:
-            here = here.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("label"))
+        if links is None:
+            here = members.withColumn("label", F.col("id"))
+        else:
+            here = members.where(F.col("size") > small)
+            if labels is not None:
+                here = here.join(labels, "id", "left")
+            here = here.select("bucket", "id", "size", "first", (F.coalesce("component", "id") if labels is not None else F.col("id")).alias("label"))
             open_ = here.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
             here = cut(here.join(open_, "bucket"), "open")
-        else:
-            here = here.withColumn("label", F.col("id"))
+            largest = here.agg(F.max("size")).first()[0]
+            if largest is None or pivots // factor >= largest:  # all members were pivots before
+                return labels
         share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 30)) * F.col("size")
-        chosen = here.where((F.col("size") <= small) | (share < F.lit(pivots << 30)))
-        pairs = (
-            here.alias("m").join(chosen.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.label") != F.col("p.label")) & (F.col("m.id") != F.col("p.id")))
-            .select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
+        chosen = here.where((F.col("size") <= small) | (F.col("id") == F.col("first")) | (share < F.lit(pivots << 30)) & F.lit(pivots > 1))
+        pairs = here.alias("m").join(chosen.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.label") != F.col("p.label")))
+        pairs = cut(pairs.select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct(), "pairs")
         found = cut(verify(pairs).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(links)
-        if pivots >= largest:  # a share of 1: all members were pivots
-            return labels
-        first, pivots = False, pivots * factor
-        still = rows.where(F.col("size") > small).join(labels, "id", "left").groupBy("bucket").agg(F.min(F.coalesce("component", "id")).alias("lo"), F.max(F.coalesce("component", "id")).alias("hi"), F.max("size").alias("size")).where("lo <> hi")
-        largest = still.agg(F.max("size")).first()[0]
-        if largest is None:
-            return labels
+        if found.limit(1).count():
+            labels = components(links)
+        pivots *= factor
+        free(spark)

@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         "classes",
     )
     members = classes.select(F.explode("keys").alias("bucket"), "id")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
     members = cut(members.join(shared, "bucket"), "members")
     ids = members.select("id").distinct()
     held = cut(texts.withColumnRenamed("doc_id", "id").join(ids.hint("shuffle_hash"), "id", "left_semi"), "held")

@@ -419,5 +419,5 @@ def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str |
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_sampled(documents(spark, sf_dir)).select(
-        "doc_id", "sample", "n_tokens", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), F.round("inclusion", 9).alias("inclusion"), "round_trip", "ids_crc32"
+        "doc_id", "sample", "n_tokens", F.round("log_prob", 6).alias("log_prob"), F.round("perturbed", 6).alias("perturbed"), "inclusion", "round_trip", "ids_crc32"
     )
