@@ -75,7 +75,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
 
 
-def link_buckets(members: DataFrame, verify, small: int = 32, factor: int = 64) -> DataFrame | None:
+def link_buckets(members: DataFrame, verify, small: int = 32, factor: int = 8, settle=None) -> DataFrame | None:
     """Components of the links between members of each bucket; no component is lost.
 
     ``members(bucket, id, size, first)`` has the members of buckets of two and more, with
@@ -84,7 +84,7 @@ def link_buckets(members: DataFrame, verify, small: int = 32, factor: int = 64)
 
     Not all pairs of a bucket are made. A bucket of at most ``small`` members is compared
     whole. In a larger one all members meet a few pivots: its first member, then about
-    ``factor`` members picked by hash, then ``factor`` times as many, up to all. What is in
+    ``factor`` members picked by hash, then ``factor`` times as many, and so on to all. What is in
     one component already meets no more, and a bucket whose members are all in one
     component is done. So a group of near copies ends after a round or two, at a cost in
     proportion to its size, and yet every two members of a bucket have met or are
@@ -105,9 +105,13 @@ def link_buckets(members: DataFrame, verify, small: int = 32, factor: int = 64)
             largest = here.agg(F.max("size")).first()[0]
             if largest is None or pivots // factor >= largest:  # all members were pivots before
                 return labels
-        share = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 30)) * F.col("size")
-        chosen = here.where((F.col("size") <= small) | (F.col("id") == F.col("first")) | (share < F.lit(pivots << 30)) & F.lit(pivots > 1))
-        pairs = here.alias("m").join(chosen.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.label") != F.col("p.label")))
+            if settle is not None:
+                return components(links.unionByName(cut(settle(here).select("a", "b"), "links")))
+        # The hash is of the id alone, so that a group's buckets agree on their pivots.
+        share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("size")
+        here = here.withColumn("pivot", (F.col("size") <= small) | (F.col("id") == F.col("first")) | (share < F.lit(pivots << 30)) & F.lit(pivots > 1))
+        once = ~F.col("m.pivot") | (F.col("m.id") < F.col("p.id"))  # two pivots meet once
+        pairs = here.alias("m").join(here.where("pivot").alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & (F.col("m.label") != F.col("p.label")) & once)
         pairs = cut(pairs.select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct(), "pairs")
         found = cut(verify(pairs).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, link_buckets
+from .common import components, cut, documents, link_buckets
 
 BATCH, BATCHES = 32, 4
 FNV = np.uint64(0x9E3779B97F4A7C15)
@@ -155,7 +155,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
     members = cut(members.join(shared, "bucket"), "members")
     ids = members.select("id").distinct()
-    held = cut(texts.withColumnRenamed("doc_id", "id").join(ids.hint("shuffle_hash"), "id", "left_semi"), "held")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "set": [shingle_set(t, width, words).tobytes() for t in batch["text"]]})
+
+    held = texts.withColumnRenamed("doc_id", "id").join(ids.hint("shuffle_hash"), "id", "left_semi").mapInPandas(sets, "id long, set binary")
+    held = cut(held, "held")
     sigs = classes.select("id", "n", "sig").join(ids, "id", "left_semi")
     sigs = cut(sigs, "held-signatures")
 
@@ -165,25 +172,63 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
             yield batch.loc[keep, ["a", "b"]]
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, last = Words(), (None, None)
         for batch in batches:
             good = []
-            for a, x, y in zip(batch["a"], batch["x"], batch["y"], strict=True):
-                if last[0] != a:
-                    last = (a, shingle_set(x, width, words))
-                other = shingle_set(y, width, words)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                good.append(100 * both >= percent * (len(last[1]) + len(other) - both))
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (sigs.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         credible = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         credible = cut(credible.select("a", "b", "x", "y").mapInPandas(bayes, "a long, b long"), "credible")
-        a, b = (held.select(F.col("id").alias(k), F.col("text").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        a, b = (held.select(F.col("id").alias(k), F.col("set").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         return credible.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInPandas(exact, "a long, b long")
 
-    labels = link_buckets(members, verify)
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of a block of outliers to a block of members."""
+        a, b = pdf[pdf["side"] == 0].reset_index(drop=True), pdf[pdf["side"] == 1].reset_index(drop=True)
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        least = least_matches(percent / 100, miss)[-1]
+        sig_b = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), -1)
+        sets_b = [np.frombuffer(x, np.uint64) for x in b["set"]]
+        size = np.array([len(x) for x in sets_b])
+        flat = np.concatenate(sets_b)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(b)), size)[order]
+        label_b, id_b, out_b = b["label"].to_numpy(), b["id"].to_numpy(), b["outlier"].to_numpy(bool)
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        out = []
+        for row in a.itertuples(index=False):
+            ok = (label_b != row.label) & ~(out_b & ((j < i) | ((i == j) & (id_b < row.id))))  # two outliers meet once
+            ok &= (sig_b == np.frombuffer(row.sig, np.uint8)).sum(1) >= least
+            if ok.any():
+                x = np.frombuffer(row.set, np.uint64)
+                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(b))
+                out += [(row.id, k) for k in id_b[ok & (100 * both >= percent * (len(x) + size - both))].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def settle(open_: DataFrame) -> DataFrame:
+        """All links between different labels among the members of open buckets. Buckets
+        that share members are pooled; in a pool, what is not of its commonest label meets
+        everything, a block of at most about 256 against a block."""
+        pools = components(open_.select(F.col("first").alias("a"), F.col("id").alias("b")))
+        m = cut(open_.select("id", "label").distinct().join(pools.withColumnRenamed("component", "pool"), "id"), "pools")
+        counts = m.groupBy("pool", "label").agg(F.count("*").alias("n")).groupBy("pool").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"))
+        wide = m.join(counts, "pool").select("pool", "id", "label", (F.col("label") != F.col("main")).alias("outlier"), F.ceil(F.col("n") / 256).alias("blocks"))
+        wide = wide.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(held, "id").join(sigs.select("id", "sig"), "id")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        left = wide.where("outlier").select("pool", F.col("k").alias("i"), other.alias("j"), F.lit(0).alias("side"), "id", "label", "outlier", "set", "sig")
+        right = wide.select("pool", other.alias("i"), F.col("k").alias("j"), F.lit(1).alias("side"), "id", "label", "outlier", "set", "sig")
+        return left.unionByName(right).groupBy("pool", "i", "j").applyInPandas(compare, "a long, b long")
+
+    labels = link_buckets(members, verify, settle=settle)
     named = classes.select("one", "two", "id")
     named = named.withColumn("component", F.col("id")) if labels is None else named.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return signed.select("doc_id", "n", "one", "two").join(named.select("one", "two", "component"), ["one", "two"], "left").select(

@@ -26,7 +26,7 @@ from .common import cut, documents, free
 
 MATCH, GRAM = 100, 24
 SPAN = MATCH - GRAM + 1  # grams in a string of MATCH bytes
-BLOCK = 1024
+BLOCK = 256
 SHARD_BYTES = 4 << 20
 STEP = 32  # every STEP-th common prefix is measured; the others follow where it is long
 
@@ -299,7 +299,7 @@ def runs(starts: np.ndarray, size: int = MATCH) -> tuple[np.ndarray, np.ndarray]
     return starts[new], np.append(starts[:-1][new[1:]], starts[-1]) + size
 
 
-def remove_repeats(docs: DataFrame, hot: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of
     ``docs(doc_id, text)``: what is left without the bytes that a string of MATCH bytes
     covers which also starts earlier, by doc_id and then by place.
