@@ -84,6 +84,6 @@ def mixture_smoother(nodes: DataFrame, e: str = "e", b: str = "b", k: int = 50,
         post = _pmf(x, y, rates) * p
         return pd.DataFrame({"__e": x, "__b": y, "r": post @ rates / post.sum(1), "category": post.argmax(1)})
 
-    fitted = pairs.groupBy(F.lit(1)).applyInPandas(solve, "__e double, __b double, r double, category int")
+    fitted = pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(solve, "__e double, __b double, r double, category int")
     keyed = nodes.withColumns({"__e": F.col(e).cast("double"), "__b": F.col(b).cast("double")})
     return keyed.join(fitted, ["__e", "__b"], "left").select(*nodes.columns, "r", "category")

@@ -175,4 +175,4 @@ def lowess_correlogram(points: DataFrame, xvals: list[float], y: str = "y", frac
             out.append((x, mc + slope * (x - mx)))
         return pd.DataFrame(out, columns=["x", "value"])
 
-    return binned.groupBy(F.lit(1)).applyInPandas(smooth, "x double, value double")
+    return binned.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(smooth, "x double, value double")

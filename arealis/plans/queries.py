@@ -650,8 +650,8 @@ def _graph(s, d):
 
 
 @query("silhouette_boundary", f"""{DIST}, near AS (SELECT DISTINCT focal AS id, b.label AS other FROM knn JOIN nodes a ON a.id = focal JOIN nodes b ON b.id = neighbor WHERE a.label <> b.label),
-bb AS (SELECT id, min(total / n) AS b FROM near JOIN d USING (id, other) GROUP BY id), aa AS (SELECT id, label, total / (n - 1) AS a, n FROM d WHERE label = other AND n > 1)
-SELECT nodes.id, nodes.label, round(coalesce((b - a) / greatest(a, b), 0), 6) AS s FROM nodes LEFT JOIN aa USING (id) LEFT JOIN bb USING (id)""")
+bb AS (SELECT id, min(total / n) AS mb FROM near JOIN d USING (id, other) GROUP BY id), aa AS (SELECT id, label, total / (n - 1) AS ma, n FROM d WHERE label = other AND n > 1)
+SELECT nodes.id, nodes.label, round(coalesce((mb - ma) / greatest(ma, mb), 0), 6) AS s FROM nodes LEFT JOIN aa ON aa.id = nodes.id LEFT JOIN bb ON bb.id = nodes.id""")
 def _(s, d):
     data, w = _graph(s, d)
     return rounded(H.boundary_silhouette(data, w))
