@@ -5,7 +5,9 @@ A rule rejects a document whose measure exceeds a cutoff. For each stratum and r
 candidates are a fixed grid; labelled good documents are the holdout. A cutoff may be used
 if the exact (Clopper-Pearson) upper bound of its false-rejection rate is within the
 rule's share of the risk, at a confidence corrected for every candidate of every rule and
-stratum that is tried (Bonferroni). The strictest such cutoff is taken.
+stratum that is tried (Bonferroni). Of these the one is taken that rejects most labelled
+bad documents, each good one counting against it COST times; a rule that gains nothing
+that way has no cutoff, so that good documents are not spent for nothing.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 GRID = [*range(10, 200, 10), *range(200, 1000, 25), *range(1000, 4001, 250)]
 
 
+COST = 10
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The counts of MEASURES over one whole text; null counts as empty."""
     if not text:
@@ -99,7 +104,7 @@ def binomial_tail_at_most(k: int, n: int, p: float) -> float:
     if p >= 1:
         return 0.0
     const = math.lgamma(n + 1)
-    first = max(0, k - 40 - int(40 * math.sqrt(n * p * (1 - p))))  # what lies below is under 1e-300 of the sum
+    first = max(0, min(k, int(n * p)) - 40 - int(40 * math.sqrt(n * p * (1 - p))))  # what lies below is under 1e-300 of the sum
     return min(1.0, math.fsum(math.exp(const - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(first, k + 1)))
 
 
@@ -118,31 +123,34 @@ def select_cutoffs(found: DataFrame, labels: DataFrame, risk: float = 0.12, miss
 
     ``risk`` bounds the share of good documents that all rules together reject in a
     stratum, with probability 1 - ``miss`` over all strata at once. Holdout: the rows of
-    ``labels(doc_id, quality)`` with quality 1 whose documents pass the base rules. A
-    document's distinct labels must agree, or it isn't used. Counts come from one grouped
-    pass; the driver gets a row for each (stratum, rule, passed cutoffs), whose number
-    does not depend on the number of documents.
+    ``labels(doc_id, quality)`` whose documents pass the base rules; quality 1 is good, 0
+    is bad, and of several labels of a document the smallest counts. Counts come from one
+    grouped pass; the driver gets a row for each (stratum, rule, passed cutoffs), whose
+    number does not depend on the number of documents.
     """
     named = rules()
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     grid = F.array(*[F.lit(float(c)) for c in GRID])
-    passed = F.array(*[F.struct(F.lit(name).alias("rule"), F.size(F.filter(grid, lambda c, v=value: v > c)).alias("over")) for name, value in named.items()])
+    over = lambda value: F.size(F.filter(grid, lambda c: value > c))
+    passed = F.array(*[F.struct(F.lit(name).alias("rule"), over(value).alias("over")) for name, value in named.items()])
     counts = (
-        found.where(~base_failed()).join(good, "doc_id", "left_semi")
-        .select("stratum", F.explode(passed).alias("x"))
-        .groupBy("stratum", "x.rule", "x.over").count()
+        found.where(~base_failed()).join(known, "doc_id")
+        .select("stratum", "good", F.explode(passed).alias("x"))
+        .groupBy("stratum", "good", "x.rule", "x.over").count()
     ).collect()
-    tables: dict[tuple[str, str], Counter] = {}
+    tables: dict[tuple[str, str], dict[bool, Counter]] = {}
     for row in counts:
-        tables.setdefault((row["stratum"], row["rule"]), Counter())[row["over"]] += row["count"]
+        tables.setdefault((row["stratum"], row["rule"]), {True: Counter(), False: Counter()})[row["good"]][row["over"]] += row["count"]
     tests = max(1, len({s for s, _ in tables}) * len(named) * len(GRID))
     out = []
     for (stratum, rule), table in sorted(tables.items()):
-        most = most_rejections(sum(table.values()), risk / len(named), miss / tests)
-        for i, cutoff in enumerate(GRID):  # ascending: the first that may be used is the strictest
-            if sum(n for over, n in table.items() if over > i) <= most:
-                out.append((stratum, rule, cutoff))
-                break
+        most, best = most_rejections(sum(table[True].values()), risk / len(named), miss / tests), (0, 0)
+        for i, cutoff in enumerate(GRID):
+            good, bad = (sum(n for over, n in table[k].items() if over > i) for k in (True, False))
+            if good <= most:
+                best = max(best, (bad - COST * good, cutoff))  # a tie goes to the looser cutoff
+        if best[0] > 0:
+            out.append((stratum, rule, best[1]))
     return out
 
 
@@ -165,7 +173,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.12, miss:
     """Measures, base_failed and kept for every row of ``docs(doc_id, text, lang)``.
 
     The stratum is ``lang``; null is a stratum of its own. A null or empty text has no
-    words and fails the base rule. Repeated rows are judged alike. With no labels for a
+    words and fails the base rule. Repeated rows are judged alike. With few labels in a
     stratum no cutoff can be proven, so only the base rules reject there. An empty table
     gives an empty result. Other columns are ignored.
     """
