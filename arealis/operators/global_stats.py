@@ -168,13 +168,15 @@ def join_counts(nodes: DataFrame, weights: DataFrame, y: str = "y", reps: int =
 
     x = F.col("weight")
     t = _edges(d, w, "y").agg(counted(x, 1, 1, "t11"), counted(x, 1, 0, "t10"), counted(x, 0, 1, "t01"), counted(x, 0, 0, "t00"), F.sum(x).alias("s0"))
-    rows = [F.col("t11") + F.col("t10"), F.col("t01") + F.col("t00")]
-    cols = [F.col("t11") + F.col("t01"), F.col("t10") + F.col("t00")]
+    # The table counts joins, and each join is two edges.
+    rows = [(F.col("t11") + F.col("t10")) / 2, (F.col("t01") + F.col("t00")) / 2]
+    cols = [(F.col("t11") + F.col("t01")) / 2, (F.col("t10") + F.col("t00")) / 2]
     cells = [("t11", 0, 0), ("t10", 0, 1), ("t01", 1, 0), ("t00", 1, 1)]
     chi = None
     for name, a, b in cells:
-        e = ratio(rows[a] * cols[b], "s0")
-        part = ratio(F.pow(F.greatest(F.abs(F.col(name) - e) - F.least(F.lit(0.5), F.abs(F.col(name) - e)), F.lit(0.0)), 2), e)
+        e = ratio(rows[a] * cols[b], F.col("s0") / 2)
+        gap = F.abs(F.col(name) / 2 - e)
+        part = ratio(F.pow(gap - F.least(F.lit(0.5), gap), 2), e)
         chi = part if chi is None else chi + part
     out = t.select((F.col("t11") / 2).alias("bb"), (F.col("t00") / 2).alias("ww"), ((F.col("t10") + F.col("t01")) / 2).alias("bw"), (F.col("s0") / 2).alias("j"), chi.alias("chi2"))
     out = out.select("*", chi2_sf_1("chi2").alias("chi2_p"), F.lit(1).alias("chi2_dof"), (F.col("bb") + F.col("ww")).alias("autocorr_pos"), F.col("bw").alias("autocorr_neg"))

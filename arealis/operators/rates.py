@@ -60,12 +60,12 @@ def standardized_mortality_ratio(strata: DataFrame, e: str = "e", b: str = "b",
 
 def indirect_age_standardization(strata: DataFrame, e: str = "e", b: str = "b", s_e: str = "s_e", s_b: str = "s_b", region: str = "region", alpha: float = 0.05) -> DataFrame:
     """(region, r, lower, upper): mortality ratio times the standard's overall rate; limits
-    are log-normal with standard error 1 / sqrt(events). The standard is that of one region's
-    strata, as each region carries the same."""
+    are log-normal with standard error 1 / sqrt(events). The standard's overall rate is that
+    of all rows together."""
     z = norm_ppf(1 - alpha / 2)
     g = strata.groupBy(region).agg(
-        ratio(F.sum(e), F.sum(F.col(b) * ratio(s_e, s_b))).alias("smr"), F.sum(e).cast("double").alias("events"), ratio(F.sum(s_e), F.sum(s_b)).alias("std"),
-    )
+        ratio(F.sum(e), F.sum(F.col(b) * ratio(s_e, s_b))).alias("smr"), F.sum(e).cast("double").alias("events")
+    ).crossJoin(F.broadcast(strata.agg(ratio(F.sum(s_e), F.sum(s_b)).alias("std"))))
     half = z * ratio(1, F.sqrt("events"))
     r = F.col("smr") * F.col("std")
     return g.select(region, r.alias("r"), (F.exp(F.log("smr") - half) * F.col("std")).alias("lower"), (F.exp(F.log("smr") + half) * F.col("std")).alias("upper"))

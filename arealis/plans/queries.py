@@ -200,10 +200,10 @@ def _(s, d):
 
 
 JC = f"""WITH {D.BINARY}, {D.lattice_sql(10)}, t AS (
-  SELECT sum(a.y * b.y)::DOUBLE AS t11, sum(a.y * (1 - b.y))::DOUBLE AS t10, sum((1 - a.y) * b.y)::DOUBLE AS t01, sum((1 - a.y) * (1 - b.y))::DOUBLE AS t00, count(*)::DOUBLE AS s
+  SELECT sum(a.y * b.y) / 2::DOUBLE AS t11, sum(a.y * (1 - b.y)) / 2::DOUBLE AS t10, sum((1 - a.y) * b.y) / 2::DOUBLE AS t01, sum((1 - a.y) * (1 - b.y)) / 2::DOUBLE AS t00, count(*) / 2::DOUBLE AS s
   FROM edges JOIN nodes a ON a.id = focal JOIN nodes b ON b.id = neighbor),
 e AS (SELECT *, (t11 + t10) * (t11 + t01) / s AS e11, (t11 + t10) * (t10 + t00) / s AS e10, (t01 + t00) * (t11 + t01) / s AS e01, (t01 + t00) * (t10 + t00) / s AS e00 FROM t)
-SELECT t11 / 2 AS bb, t00 / 2 AS ww, (t10 + t01) / 2 AS bw, s / 2 AS j, (t11 + t00) / 2 AS autocorr_pos,
+SELECT t11 AS bb, t00 AS ww, t10 + t01 AS bw, s AS j, t11 + t00 AS autocorr_pos,
   round(pow(abs(t11 - e11) - least(0.5, abs(t11 - e11)), 2) / e11 + pow(abs(t10 - e10) - least(0.5, abs(t10 - e10)), 2) / e10 + pow(abs(t01 - e01) - least(0.5, abs(t01 - e01)), 2) / e01 + pow(abs(t00 - e00) - least(0.5, abs(t00 - e00)), 2) / e00, 6) AS chi2 FROM e"""
 
 
@@ -594,7 +594,7 @@ def _(s, d):
     return rounded(R.direct_age_standardization(D.strata(s, d)))
 
 
-INDIRECT = "SELECT region, sum(e) / sum(b * s_e / s_b) AS smr, sum(e) AS ev, sum(s_e) / sum(s_b) AS std FROM strata GROUP BY region"
+INDIRECT = "SELECT region, sum(e) / sum(b * s_e / s_b) AS smr, sum(e) AS ev, (SELECT sum(s_e) / sum(s_b) FROM strata) AS std FROM strata GROUP BY region"
 
 
 @query("rate_indirect", f"WITH {D.STRATA}, t AS ({INDIRECT}) SELECT region, {r6(r='smr * std', lower='exp(ln(smr) - 1.959963984540054 / sqrt(ev)) * std', upper='exp(ln(smr) + 1.959963984540054 / sqrt(ev)) * std')} FROM t")
