@@ -217,11 +217,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     def settle(open_: DataFrame) -> DataFrame:
         """All links between different labels among the members of open buckets. Buckets
         that share members are pooled; in a pool, what is not of its commonest label meets
-        everything, a block of at most about 256 against a block."""
+        everything, a block of about 512 against a block."""
         pools = components(open_.select(F.col("first").alias("a"), F.col("id").alias("b")))
         m = cut(open_.select("id", "label").distinct().join(pools.withColumnRenamed("component", "pool"), "id"), "pools")
         counts = m.groupBy("pool", "label").agg(F.count("*").alias("n")).groupBy("pool").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"))
-        wide = m.join(counts, "pool").select("pool", "id", "label", (F.col("label") != F.col("main")).alias("outlier"), F.ceil(F.col("n") / 256).alias("blocks"))
+        wide = m.join(counts, "pool").select("pool", "id", "label", (F.col("label") != F.col("main")).alias("outlier"), F.ceil(F.col("n") / 512).alias("blocks"))
         wide = wide.withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(held, "id").join(sigs.select("id", "sig"), "id")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         left = wide.where("outlier").select("pool", F.col("k").alias("i"), other.alias("j"), F.lit(0).alias("side"), "id", "label", "outlier", "set", "sig")
