@@ -311,8 +311,8 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
 
     A shard takes whole groups of anchors, of at most ``hot`` occurrences each, so its
     memory is bounded. An anchor that occurs more often is settled string by string: hashes
-    (128 bits) of the SPAN strings around each of its places are grouped, which combines
-    before the shuffle and needs no group in one task.
+    (128 bits) of the SPAN strings around each of its places are grouped, each once a
+    document, which combines before the shuffle and needs no group in one task.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     listed = texts.select("doc_id", F.octet_length("raw").cast("long").alias("n"), F.md5("raw").alias("digest")).where("doc_id is not null")
@@ -381,14 +381,21 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
                     for i, j in zip(a.tolist(), np.append(a[1:], len(p)).tolist(), strict=True):
                         b, e = int(lo[i]), int(hi[j - 1])
                         if e - b >= MATCH:
-                            out.append((int(k[i]), None, int(doc), b, raw[b:e]))
+                            out.append((int(k[i]), None, int(doc), b, None, raw[b:e]))
                             size += e - b
                 if len(hot_pos):
                     windows = np.unique(np.concatenate([np.arange(max(0, q - SPAN + 1), min(q, len(raw) - MATCH) + 1) for q in hot_pos.tolist()]))
-                    for s in windows.tolist():
+                    seen, again = set(), []
+                    for s in windows.tolist():  # ascending: a string that the document has had needs no other proof
                         h = xxhash.xxh3_128_intdigest(raw[s : s + MATCH])
-                        out.append((((h >> 64) ^ (1 << 63)) - (1 << 63), ((h & (2**64 - 1)) ^ (1 << 63)) - (1 << 63), int(doc), s, None))
-                    size += 64 * len(windows)
+                        if h in seen:
+                            again.append(s)
+                            continue
+                        seen.add(h)
+                        out.append((((h >> 64) ^ (1 << 63)) - (1 << 63), ((h & (2**64 - 1)) ^ (1 << 63)) - (1 << 63), int(doc), s, None, None))
+                    for a, b in zip(*(x.tolist() for x in runs(np.array(again, dtype=np.int64))), strict=True):
+                        out.append((0, None, int(doc), a, b, None))
+                    size += 64 * len(seen)
                 if size > 8 << 20:
                     yield frame(out)
                     out, size = [], 0
@@ -396,12 +403,12 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
                 yield frame(out)
 
     def frame(out):
-        f = pd.DataFrame(out, columns=["key", "more", "doc_id", "start", "bytes"])
-        return f.assign(more=f["more"].astype("Int64"))
+        f = pd.DataFrame(out, columns=["key", "more", "doc_id", "start", "stop", "bytes"])
+        return f.assign(more=f["more"].astype("Int64"), stop=f["stop"].astype("Int64"))
 
     lists = places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("hot"))).alias("x")).select("doc_id", "x.pos", "x.key", "x.hot")
     lists = lists.join(copies, "doc_id", "left_anti")
-    parts = cut(packed.join(lists, "doc_id").mapInPandas(slices, "key long, more long, doc_id long, start long, bytes binary"), "parts")
+    parts = cut(packed.join(lists, "doc_id").mapInPandas(slices, "key long, more long, doc_id long, start long, stop long, bytes binary"), "parts")
     free(docs.sparkSession)
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -427,7 +434,7 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
         if held:
             yield solve(held)
 
-    cold = parts.where("more is null").select("key", "doc_id", "start", "bytes").repartition("key").sortWithinPartitions("key")
+    cold = parts.where("bytes is not null").select("key", "doc_id", "start", "bytes").repartition("key").sortWithinPartitions("key")
     spans = cold.mapInPandas(shards, "doc_id long, a long, b long")
     strings = parts.where("more is not null").select("key", "more", "doc_id", "start")
     # The earliest place of a string: its smallest doc_id, then the smallest start there.
@@ -435,7 +442,8 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
     with_doc = strings.join(first_doc, ["key", "more"])
     first_start = with_doc.where("doc_id = doc0").groupBy("key", "more").agg(F.min("start").alias("start0"))
     later = with_doc.join(first_start, ["key", "more"]).where("doc_id > doc0 or start > start0").select("doc_id", F.col("start").alias("a"), (F.col("start") + MATCH).alias("b"))
-    spans = cut(spans.unionByName(later), "spans")
+    own = parts.where("stop is not null").select("doc_id", F.col("start").alias("a"), F.col("stop").alias("b"))
+    spans = cut(spans.unionByName(later).unionByName(own), "spans")
     free(docs.sparkSession)
     gone = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("x")).select("doc_id", "x.a", "x.b")
 
