@@ -111,20 +111,37 @@ def adbscan(points: DataFrame, eps: float, min_samples: int, pct_exact: float =
 
 def alpha_edges(xy: np.ndarray, radius: float) -> list[tuple[int, int]]:
     """Edges (i, j) with an empty circle of ``radius`` through both ends on one side and
-    not on the other: the alpha shape's boundary, by checking pairs closer than a diameter."""
+    not on the other: the alpha shape's boundary, by checking pairs closer than a diameter.
+    What a circle through i holds is within a diameter of i, so only the cells around it
+    are looked at, and the nearest points first: most circles hold one of them."""
+    cells: dict[tuple[int, int], list[int]] = defaultdict(list)
+    grid = np.floor(xy / (2 * radius)).astype(np.int64)
+    for i, (a, b) in enumerate(grid.tolist()):
+        cells[a, b].append(i)
+
+    def empty(centres, ends, others):
+        alive = np.arange(len(centres))
+        for a, b in zip([0, *range(64, len(others), 512)], [*range(64, len(others), 512), len(others)], strict=True):
+            c, o = centres[alive], others[a:b]
+            inside = (np.hypot(*(xy[o][None, :, :] - c[:, None, :]).transpose(2, 0, 1)) < radius - 1e-12) & (o[None, :] != ends[alive][:, None])
+            alive = alive[~inside.any(1)]
+        out = np.zeros(len(centres), bool)
+        out[alive] = True
+        return out
+
     out = []
-    for i in range(len(xy)):
-        d = xy - xy[i]
-        size = np.hypot(*d.T)
-        for j in np.flatnonzero((size > 0) & (size <= 2 * radius)).tolist():
-            if j <= i:
-                continue
-            mid, half = (xy[i] + xy[j]) / 2, size[j] / 2
-            up = np.array([-d[j][1], d[j][0]]) / size[j] * np.sqrt(max(radius * radius - half * half, 0))
-            others = np.delete(xy, [i, j], axis=0)
-            empty = [not (np.hypot(*(others - c).T) < radius - 1e-12).any() for c in (mid + up, mid - up)]
-            if empty[0] != empty[1] or (len(others) == 0):
-                out.append((i, j))
+    for i, (a, b) in enumerate(grid.tolist()):
+        near = np.array([k for da in (-1, 0, 1) for db in (-1, 0, 1) for k in cells.get((a + da, b + db), ()) if k != i], dtype=np.int64)
+        size = np.hypot(*(xy[near] - xy[i]).T)
+        near, size = near[size <= 2 * radius], size[size <= 2 * radius]
+        near, size = near[order := np.argsort(size, kind="stable")], size[order]
+        later = (size > 0) & (near > i)
+        ends, length = near[later], size[later]
+        d = xy[ends] - xy[i]
+        mid = (xy[i] + xy[ends]) / 2
+        up = np.stack([-d[:, 1], d[:, 0]], axis=1) / length[:, None] * np.sqrt(np.maximum(radius * radius - length * length / 4, 0))[:, None]
+        one, two = empty(mid + up, ends, near), empty(mid - up, ends, near)
+        out += [(i, j) for j in sorted(ends[(one != two) | (len(xy) == 2)].tolist())]
     return out
 
 

@@ -63,12 +63,6 @@ def binary(spark: SparkSession, d: str) -> DataFrame:
 BINARY = "nodes AS (SELECT s_suppkey AS id, s_suppkey AS pos, (s_acctbal > 4000)::INT AS y, (s_nationkey % 3 > 0)::INT AS x, (s_suppkey % 4 > 0)::INT AS v FROM supplier)"
 
 
-def points(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id < 500")
-    at = lambda i: F.round(F.col("embedding")[i].cast("double"), 6)
-    return e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"), (F.col("vec_id") % 7 + 1).cast("double").alias("e"), (F.col("vec_id") % 11 + 10).cast("double").alias("b"), "label")
-
-
 def all_points(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     at = lambda i: F.round(F.col("embedding")[i].cast("double"), 6)

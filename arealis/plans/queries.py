@@ -671,18 +671,17 @@ def _(s, d):
 
 @query("silhouette_path")
 def _(s, d):
-    p = D.points(s, d)
-    return rounded(H.path_silhouette(p.select("id", "label", F.array("x", "y").alias("features")), W.knn(p, 5)))
+    return rounded(H.path_silhouette(*_graph(s, d)))
 
 
 @query("adbscan")
 def _(s, d):
-    return rounded(A.adbscan(D.points(s, d), 0.08, 20, pct_exact=0.5, reps=10).select("id", "label", "pct"))
+    return rounded(A.adbscan(D.all_points(s, d), 0.08, 20, pct_exact=0.5, reps=10).select("id", "label", "pct"))
 
 
 @query("adbscan_boundary")
 def _(s, d):
-    p = D.points(s, d)
+    p = D.all_points(s, d)
     return A.cluster_boundary(A.adbscan(p, 0.08, 20, pct_exact=0.5, reps=10).select("id", "label"), p.select("id", "x", "y"), 0.1)
 
 
@@ -737,7 +736,7 @@ def _(s, d):
 
 @query("correlogram_lowess")
 def _(s, d):
-    return rounded(T.lowess_correlogram(D.points(s, d), [0.05, 0.1, 0.2, 0.3], "z"))
+    return rounded(T.lowess_correlogram(D.all_points(s, d), [0.05, 0.1, 0.2, 0.3], "z"))
 
 
 # ---- geometry and overlay ---------------------------------------------------------------
