@@ -100,12 +100,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period
     return placed.join(F.broadcast(table), "source").select("doc_id", "source", "block", slot.alias("slot"), "place")  # `period` numbers in all
 
 
-def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` in the order of the mixture; all rows, columns as given."""
+def placed_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """``docs`` with two more columns, ``slot`` and ``place``; sorted by them, the rows are
+    the mixture. Repeated rows have the first place of theirs."""
     mixed = mix_sources(docs, weights).groupBy("doc_id").agg(F.min(F.struct("slot", "place")).alias("at"))
-    mixed = mixed.select(F.col("doc_id").alias("__id"), F.col("at.slot").alias("__slot"), F.col("at.place").alias("__place"))
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__id"]))
-    return joined.orderBy("__slot", "__place").select(*[docs[c] for c in docs.columns])
+    mixed = mixed.select(F.col("doc_id").alias("__id"), F.col("at.slot").alias("slot"), F.col("at.place").alias("place"))
+    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__id"])).drop("__id")
+
+
+def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """``docs`` in the order of the mixture; all rows, columns as given. The order does not
+    outlive writing and reading: ``placed_documents`` says it in columns."""
+    return placed_documents(docs, weights).orderBy("slot", "place").select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

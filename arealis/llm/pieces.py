@@ -363,14 +363,15 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str | None = None) -> DataFrame:
+def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Up to ``k`` distinct segmentations of every whole text of ``docs(doc_id, text)``.
 
     Returns doc_id, sample (1 is the largest perturbed value), n_tokens, log_prob (under
     the lattice's distribution), perturbed, inclusion (the probability that a segmentation
     is above the threshold, the largest value left out: log_prob's importance weight is
     its inverse) and round_trip (decoding gives the text). With ``digest`` the ids come as
-    ids_crc32 of their little-endian 32-bit values, else as ids.
+    ids_crc32 of their little-endian 32-bit values, else as ids. ``carry`` names columns of
+    long values that each sample takes along from its row.
 
     The row key that seeds the draws is doc_id and the text: repeated rows give equal
     results. A null doc_id counts as 0 there. A null or empty text has one segmentation,
@@ -392,28 +393,28 @@ def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str |
             full = [r for r in rows if r[1]]
             found = sample_block([(r[0] or 0) * 0x100000001B3 + zlib.crc32(r[1].encode("utf-8", "surrogatepass")) for r in full], [r[1] for r in full], k, v) if full else []
             samples = iter(found)
-            for doc, text in rows:
+            for doc, text, *kept in rows:
                 for i, (p, g, q, ids) in enumerate(next(samples) if text else [(0.0, 0.0, 1.0, np.empty(0, np.int32))]):
                     ok = decode(ids, v) == text if text else True
                     ids = ids.astype("<i4")
-                    out.append((doc, i + 1, len(ids), p, g, q, ok, zlib.crc32(ids.tobytes()) if digest else ids))
-            frame = pd.DataFrame(out, columns=["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "round_trip", last[0]])
+                    out.append((doc, i + 1, len(ids), p, g, q, ok, zlib.crc32(ids.tobytes()) if digest else ids, *kept))
+            frame = pd.DataFrame(out, columns=["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "round_trip", last[0], *carry])
             return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
 
         rows, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text, *kept in zip(batch["doc_id"], batch["text"], *(batch[c] for c in carry), strict=True):
                 text = text if isinstance(text, str) else ""
                 if rows and size + len(text) > BLOCK_CHARS:
                     yield flush(rows)
                     rows, size = [], 0
-                rows.append((None if pd.isna(doc) else int(doc), text))
+                rows.append((None if pd.isna(doc) else int(doc), text, *kept))
                 size += len(text)
         if rows:
             yield flush(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id long, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, round_trip boolean, {last[0]} {last[1]}"
+    return docs.select("doc_id", "text", *carry).mapInPandas(
+        run, f"doc_id long, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, round_trip boolean, {last[0]} {last[1]}" + "".join(f", {c} long" for c in carry)
     )
 
 

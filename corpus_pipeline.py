@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arealis.llm.common import cut, documents
 from arealis.llm.lines import line_filter
-from arealis.llm.mixing import mix_documents
+from arealis.llm.mixing import mix_documents, placed_documents
 from arealis.llm.neardup import drop_near_duplicates
 from arealis.llm.pieces import encode_sampled
 from arealis.llm.quality import quality_filter
@@ -38,8 +38,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each text, as ids."""
-    return encode_sampled(docs, k=2, digest=False)
+    """Two distinct sampled segmentations of each text, as ids, with the slot and place of
+    the mixture: files keep no order of rows, and places depend on the rows alone."""
+    return encode_sampled(placed_documents(docs), k=2, digest=False, carry=("slot", "place"))
 
 
 STAGES = [

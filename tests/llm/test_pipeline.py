@@ -1,4 +1,5 @@
 import corpus_pipeline
+from arealis.llm.mixing import mix_sources
 from arealis.llm.queries import QUERIES
 
 
@@ -18,3 +19,12 @@ def test_stages_and_columns(spark):
 
 def test_one_query_an_operator():
     assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_samples_say_their_place_in_the_mixture(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60).cache()
+    want = {r.doc_id: (r.slot, r.place) for r in mix_sources(docs).collect()}
+    got = corpus_pipeline.encoding(spark, docs.repartition(3), d).collect()
+    assert {r.doc_id: (r.slot, r.place) for r in got} == want
+    assert len(set(want.values())) > 50 and len({r.slot for r in got}) > 1
