@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
                     one, two = int(np.bitwise_xor.reduce(_mix(s + FNV)).view(np.int64)), int(_mix(s ^ FNV).sum().view(np.int64))
                 out.append((doc, len(s), one, two, band_keys(sig, bands, rows), sig[bands * rows :].astype(np.uint8).tobytes()))
             frame = pd.DataFrame(out, columns=["doc_id", "n", "one", "two", "keys", "sig"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), one=frame["one"].astype("Int64"), two=frame["two"].astype("Int64"))
+            one, two = (pd.array([r[i] for r in out], dtype="Int64") for i in (2, 3))  # a column of ints and None would be one of floats
+            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), one=one, two=two)
 
     texts = docs.select("doc_id", "text")
     signed = cut(texts.mapInPandas(sign, "doc_id long, n long, one long, two long, keys array<long>, sig binary"), "signatures")

@@ -299,6 +299,14 @@ def runs(starts: np.ndarray, size: int = MATCH) -> tuple[np.ndarray, np.ndarray]
     return starts[new], np.append(starts[:-1][new[1:]], starts[-1]) + size
 
 
+def parts_frame(out: list[tuple]) -> pd.DataFrame:
+    """Rows (key, more, doc_id, start, stop, bytes) as a frame. Whole numbers beside None
+    never pass through floats, which keep 53 bits of a hash."""
+    f = pd.DataFrame(out, columns=["key", "more", "doc_id", "start", "stop", "bytes"], dtype=object)
+    whole = {c: pd.array(f[c].tolist(), dtype="Int64") for c in ("key", "more", "doc_id", "start", "stop")}
+    return f.assign(**whole)
+
+
 def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of
     ``docs(doc_id, text)``: what is left without the bytes that a string of MATCH bytes
@@ -397,14 +405,10 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
                         out.append((0, None, int(doc), a, b, None))
                     size += 64 * len(seen)
                 if size > 8 << 20:
-                    yield frame(out)
+                    yield parts_frame(out)
                     out, size = [], 0
             if out:
-                yield frame(out)
-
-    def frame(out):
-        f = pd.DataFrame(out, columns=["key", "more", "doc_id", "start", "stop", "bytes"])
-        return f.assign(more=f["more"].astype("Int64"), stop=f["stop"].astype("Int64"))
+                yield parts_frame(out)
 
     lists = places.groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("hot"))).alias("x")).select("doc_id", "x.pos", "x.key", "x.hot")
     lists = lists.join(copies, "doc_id", "left_anti")

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arealis.llm.suffix import MATCH, anchors, remove_repeats, repeated_starts, suffix_array
+from arealis.llm.suffix import MATCH, anchors, parts_frame, remove_repeats, repeated_starts, suffix_array
 
 from .conftest import edge_rows
 
@@ -66,3 +66,12 @@ def test_against_brute_force(docs):
 
 def test_empty_table(empty):
     assert remove_repeats(empty).count() == 0
+
+
+def test_hashes_keep_all_bits_beside_cold_parts():
+    one, two = 2**62 + 12345, -(2**62) - 54321
+    hot = (one, two, 2**60 + 1, 5, None, None)
+    for out in ([hot], [hot, (7, None, 2, 0, None, b"x" * 100), (0, None, 2, 3, 9, None)]):
+        f = parts_frame(out)
+        assert (f["key"][0], f["more"][0], f["doc_id"][0]) == (one, two, 2**60 + 1)
+        assert f["stop"].isna().tolist()[:2] == [True] * min(2, len(out)) and f["more"].isna().sum() == len(out) - 1
