@@ -19,10 +19,16 @@ from pyspark.sql import functions as F
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN_TAGS = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object param rp audio video canvas svg math textarea select".split())
+HIDDEN_TAGS = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes param rp audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main menu nav section summary search optgroup option caption tr td th thead tbody tfoot".split())
 CLOSES_P = SPACED | frozenset("address article aside center details dialog dd dir div dt figcaption footer form header hgroup li main menu nav section summary".split())
+#: In drawings, characters show inside these alone, and never below those that only define or describe.
+DRAWN = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+UNSHOWN_MATH = frozenset("annotation annotation-xml mphantom".split())
+#: Inputs that show no text of their own.
+WORDLESS = frozenset("hidden password checkbox radio range color file image".split())
 #: Start tag -> (what it ends, where the search for that stops).
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "table"}),
@@ -120,9 +126,11 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 end = found.start() if found else len(html)
             if tag == "style":
                 styles.append(html[at:end])
+            elif tag == "textarea":
+                node.children.append(html[at:end])
             close_at = html.find(">", end)
             at = len(html) if close_at < 0 else close_at + 1
-        elif tag not in VOID:
+        elif tag not in VOID and not (m[5] and m[5].endswith("/") and (tag in ("svg", "math") or open_tags.get("svg") or open_tags.get("math"))):
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
 
@@ -149,6 +157,31 @@ def is_hidden(node: Node, rules: set[str]) -> bool:
     return False
 
 
+def drawn(svg: Node, rules: set[str]) -> list[Node]:
+    """The elements of a drawing whose characters show, in order."""
+    out, todo = [], list(reversed(svg.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.tag in UNDRAWN or is_hidden(node, rules):
+            continue
+        if node.tag in DRAWN:
+            out.append(node)
+        else:
+            todo += reversed(node.children)
+    return out
+
+
+def field_text(node: Node) -> str:
+    """What an input or textarea shows: its value, or its placeholder."""
+    a = node.attrs
+    if node.tag == "textarea":
+        return unescape("".join(node.children)).replace("\r\n", "\n").strip("\n") or a.get("placeholder", "")
+    kind = a.get("type", "").strip().lower()
+    if kind in WORDLESS:
+        return ""
+    return a.get("value", "") or ("" if kind in ("submit", "reset", "button") else a.get("placeholder", ""))
+
+
 class Page:
     """Lines under construction: inline text runs on until a block ends it."""
 
@@ -242,10 +275,26 @@ def render(html: str | None) -> str:
             if tag == "br":
                 page.end(0, force=True)
                 continue
-            if tag == "input" or tag in VOID:
+            if tag in ("input", "textarea"):
+                if shown := field_text(node):
+                    page.put(" ", False)
+                    page.put(shown, tag == "textarea")
+                    page.put(" ", False)
+                continue
+            if tag in VOID or tag in UNSHOWN_MATH:
                 continue
             todo.append((node, False))
             kids = node.children
+            if tag == "svg":
+                kids = [x for k in drawn(node, rules) for x in (Node("#gap", {}), k, Node("#gap", {}))]
+            elif tag in ("mfrac", "mtr"):
+                kids = [x for k in kids for x in (k, Node("#gap", {}))]
+            elif tag == "#gap":
+                page.put(" ", False)
+            elif tag in ("option", "optgroup") and node.attrs.get("label"):
+                page.end(0)
+                page.put(node.attrs["label"], False)
+                kids = [] if tag == "option" else kids
             if tag == "details" and "open" not in node.attrs:
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
             if tag in ("table", "li", "td", "th", "blockquote", "dd"):

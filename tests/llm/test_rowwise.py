@@ -116,6 +116,21 @@ def test_render(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("a <textarea> x &amp;\n  y</textarea>b", "a  x &\n  y b"), ("<textarea placeholder=note></textarea>", "note"),
+        ("<select><option>one<option selected>two</select>", "one\ntwo"), ("<select><optgroup label=G><option label=L>t</optgroup></select>", "G\nL"),
+        ("a<svg><defs><text>no</text></defs>raw<path d='M0'/><title>t</title><g><text x=1>north <tspan>pole</tspan></text><text>east</text></g></svg>b", "a north pole east b"), ("a<svg><path d='M0'/></svg>b", "ab"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>.</p>", "so x=1."), ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"),
+        ("<object data=f><param name=a value=b><p>fallback</p></object>", "fallback"), ("Name:<input value='Bo &amp; Al'><input type=submit value=Send><input type=hidden value=no><input type=password value=no>", "Name: Bo & Al Send"),
+        ("<input placeholder=Search><input type=checkbox value=no><textarea hidden>no</textarea>", "Search"), ("<datalist><option>no</datalist>x", "x"),
+    ],
+)
+def test_render_forms_and_foreign_elements(html, text):
+    assert render(html) == text
+
+
 def test_deep_and_long_pages(spark):
     assert render("<div>" * 20000 + "deep") == "deep"
     df = spark.createDataFrame([(1, "<p>x", "u", "clash"), (2, None, None, None), (1, "<p>x", "u", "clash")], "page_id long, html string, url string, text string")
