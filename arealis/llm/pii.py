@@ -32,8 +32,14 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 SECRET_WORDS = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "key", "credential", "bearer", "auth", "login", "pin", "iban", "ssn", "account")
 HARMLESS_WORDS = ("version", "license", "licence", "licensed", "copyright", "http", "https", "www", "isbn", "doi", "page", "chapter", "figure", "table", "section")
 
-#: Candidates: runs of at least 12 key characters.
+#: Candidates without context: runs of at least 12 key characters.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}+")
+#: Candidates by context, of any length: what follows a secret word within REACH characters, or an assignment to a name.
+REACH = 40
+SECRET = re.compile("|".join(sorted(map(re.escape, SECRET_WORDS), key=len, reverse=True)), re.I)
+ASSIGNED = re.compile(r"""[A-Za-z_]["']?[\x20\t]?[=:][\x20\t]?["']?(?=[^\s"'=:])""")
+#: A value: groups of capitals and digits set apart by single blanks, or a run without blanks and quotes.
+VALUE = re.compile(r"""(?<![A-Z0-9])[A-Z0-9]{2,6}(?:\x20(?=[A-Z]{0,4}[0-9])[A-Z0-9]{1,6})+(?![A-Za-z0-9])|[^\s"'`<>=:;,()\[\]{}]+""")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 KEY = re.compile(r"[A-Z0-9]+")
 LABELERS = ("hex", "key", "mixed", "word", "secret_word", "harmless_word", "assigned", "repeated")
@@ -88,8 +94,8 @@ _DOTTED = re.compile(r"[0-9]\.[0-9]")
 
 def votes(text: str, start: int, end: int) -> tuple[int, ...]:
     """Each labeler's vote on a candidate: 1 secret, 0 not, 2 abstains."""
-    token = text[start:end]
-    before = text[max(0, start - 40) : start].lower()
+    token = text[start:end].replace(" ", "")
+    before = text[max(0, start - REACH) : start].lower()
     near = re.split(r"[^a-z_-]+", before)[-4:]
     digits = sum("0" <= c <= "9" for c in token)
     letters = sum(c.isalpha() for c in token)
@@ -123,19 +129,56 @@ def unpack(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([code // 3 ** (len(LABELERS) - 1 - i) % 3 for i in range(len(LABELERS))], axis=1), size, share
 
 
-def candidates(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, cell) of every candidate token that no base span touches. Tokens of
-    lower-case letters alone can't be told from words and are no candidates."""
-    out = []
-    for m in TOKEN.finditer(text or ""):
-        start, end = m.span()
-        token = m[0]
-        if (token.isalpha() and not token.isupper()) or any(a < end and start < b for _, a, b in base):
+def in_context(text: str) -> set[tuple[int, int]]:
+    """(start, end) of the values near secret words and in assignments, whatever their length."""
+    out, done = set(), 0
+
+    def value(m) -> None:
+        end = m.end()
+        while end > m.start() and text[end - 1] in ".!?":
+            end -= 1
+        if any(c.isalnum() for c in text[m.start() : end]):
+            out.add((m.start(), end))
+
+    for word in SECRET.finditer(text):
+        a, b = word.span()
+        if text[a - 1 : a].isalpha() or text[b : b + 1].isalpha():
             continue
-        out.append((start, end, cell_of(text, start, end)))
+        at, done = max(b, done), max(done, b)
+        while (m := VALUE.search(text, at)) and m.start() < b + REACH:
+            if m.start() == b and text[b] in "_-":  # pin-4821
+                at = b + 1
+                continue
+            value(m)
+            at = done = m.end()
+    for m in ASSIGNED.finditer(text):
+        if m := VALUE.match(text, m.end()):
+            value(m)
     return out
 
 
+def candidates(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, cell) of every candidate that no base span touches: all values in
+    context, and long tokens without one. There, tokens of lower-case letters alone can't
+    be told from words and are no candidates."""
+    if not text:
+        return []
+    near = sorted(in_context(text), key=lambda x: (x[0], -x[1]))
+    spans, free = [], 0
+    for a, b in near:
+        if a >= free:
+            spans.append((a, b))
+            free = b
+    i, found = 0, []
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        while i < len(spans) and spans[i][1] <= start:
+            i += 1
+        if (i == len(spans) or spans[i][0] >= end) and (not m[0].isalpha() or m[0].isupper()):
+            found.append((start, end))
+    return [(a, b, cell_of(text, a, b)) for a, b in sorted(spans + found) if not any(x < b and a < y for _, x, y in base)]
+
+
 def fit_reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """EM over vote patterns (P x L, values 0, 1, 2) with counts. Returns each pattern's
     posterior of class 1 and the reliabilities P(vote 1 | class, voted), 2 x L."""

@@ -76,6 +76,27 @@ def test_pii_rows(docs, empty, spark):
     assert pii.find_pii(docs).count() == len(edge_rows()) and pii.find_pii(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,secret",
+    [
+        ("my password: Tr0ub4dor, please", "Tr0ub4dor"), ("the pin 4821 is mine", "4821"), ("PIN-4821", "4821"), ("login 7", "7"), ("ssn 123-45-6789.", "123-45-6789"), ("IBAN DE89 3704 0044 0532 0130 00 of hers", "DE89 3704 0044 0532 0130 00"),
+        ("password is hunter", "hunter"), ("db_pass = 'x9!q'", "x9!q"), ("key: abcdefGHIJKL$mnop1", "abcdefGHIJKL$mnop1"), ("no word 841d82b07cb9b9f1fcb7 here", "841d82b07cb9b9f1fcb7"),
+    ],
+)
+def test_candidates_in_context(text, secret):
+    assert secret in [text[a:b] for a, b, _ in pii.candidates(text, pii.base_spans(text))]
+
+
+def test_short_secrets_are_found_and_prose_is_left(spark):
+    rng = random.Random(4)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, "the meeting was long and the secret of it was patience; see the note: tea at four") for i in range(60)]
+    rows += [(100 + i, f"login with password: Tr0ub{rng.randint(10, 99)}dor today") for i in range(40)] + [(200 + i, f'token = "{token(40)}"') for i in range(40)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(f":{rows[60 + i][1].index('Tr0')}:" in got[100 + i].spans and got[200 + i].n_secret == 1 for i in range(40))
+    assert not any(got[i].n_secret for i in range(60))
+
+
 def test_reliabilities():
     patterns = np.array([[1, 1, 2], [0, 0, 2], [1, 0, 1], [0, 1, 0]])
     post, rates = pii.fit_reliabilities(patterns, np.array([100.0, 100, 10, 10]))
