@@ -31,8 +31,11 @@ LOOKS_LIKE = {
 DELETE, SUBSTITUTE, SHORTEN, HALVE = 1.0, 0.7, 0.5, 1.5
 
 _SIGNS = re.escape("".join(LOOKS_LIKE))
-HIDDEN = re.compile(rf"[^\W\d_][{_SIGNS}*]+[^\W\d_]|(?<!\S)[{_SIGNS}]+[^\W\d_]|([^\W\d_])\1\1")
-SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[{_SIGNS}])(?:[ .*_-]{{1,2}}(?:[^\W_]|[{_SIGNS}])){{3,}}(?!\S)")
+#: Signs that are no digits; without one of them or a letter, a stretch is a number.
+WORDY = "@$!|+€£"
+#: Suspect: a sign beside a letter on either side, a sign beside one that is no digit, a letter twice, separators beside a letter.
+HIDDEN = re.compile(rf"[^\W\d_][{_SIGNS}*]|[{_SIGNS}][^\W\d_]|[{_SIGNS}][{re.escape(WORDY)}]|[{re.escape(WORDY)}][{_SIGNS}]|([^\W\d_])\1|[^\W\d_][.*_-]+[^\W_]|\d[.*_-]+[^\W\d_]")
+SPACED = re.compile(rf"(?<![^\s\"'(])(?:[^\W_]|[{_SIGNS}])(?:[ .*_-]{{1,2}}(?:[^\W_]|[{_SIGNS}]))+(?=[\s.,!?;:\"')]|$)")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -101,7 +104,7 @@ def decode(seen: str, model: np.ndarray) -> str:
         elif c.isalpha():
             ways = [(c * min(n, 2), SHORTEN if n > 2 else 0.0)] + ([(c, SHORTEN if n > 2 else HALVE)] if n > 1 else [])
         else:
-            ways = [("", DELETE if c not in " .*_-" else 0.0)]
+            ways = [("", DELETE if c not in " .*_-" else 0.0), (" ", 0.0)]  # the stretch may be several words
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in states.items():
             for letters, cost in ways:
@@ -121,10 +124,27 @@ def decode(seen: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+_held: list = [None, {}]  # a model and what it has decoded: words come again and again
+
+
+def decoded(seen: str, model: np.ndarray) -> str:
+    """``decode``, remembered; what has no letter and no sign beside digits stays a number."""
+    if not any(c.isalpha() or c in WORDY for c in seen):
+        return seen
+    if _held[0] is not model or len(_held[1]) > 100_000:
+        _held[:] = [model, {}]
+    got = _held[1].get(seen)
+    if got is None:
+        got = decode(seen, model)
+        if len(seen) <= 64:  # longer ones are decoded anew each time
+            _held[1][seen] = got
+    return got
+
+
 def restore(text: str, model: np.ndarray) -> str:
     """Lower-cased text with each suspect stretch replaced by what it stands for."""
     low = text.lower()
-    low = SPACED.sub(lambda m: decode(m[0], model), low)
+    low = SPACED.sub(lambda m: decoded(m[0], model), low)
     if not HIDDEN.search(low):
         return low
     out, at = [], 0
@@ -138,14 +158,10 @@ def restore(text: str, model: np.ndarray) -> str:
         start, stop = max(start, at), end
         while start < stop and not (low[start].isalpha() or low[start] in LOOKS_LIKE):
             start += 1
-        while stop > start and not (low[stop - 1].isalpha() or low[stop - 1] in "0123456789@$"):
+        while stop > start and not (low[stop - 1].isalpha() or low[stop - 1] in LOOKS_LIKE and low[stop - 1] != "!"):
             stop -= 1
-        if stop - start <= 64:  # what is longer is no hidden word; it stays in the text as it is
-            out += [low[at:start], decode(low[start:stop], model)]
-            at = stop
-        else:
-            out.append(low[at:end])
-            at = end
+        out += [low[at:start], decoded(low[start:stop], model)]
+        at = stop
     return "".join(out) + low[at:]
 
 

@@ -172,6 +172,23 @@ def test_restore(lm, seen, plain):
     assert toxicity.restore(f"the {seen} said", lm) == f"the {plain} said"
 
 
+@pytest.mark.parametrize(
+    "seen,plain",
+    [("l0ser.1d10t_cl0wn", "loser idiot clown"), ("idi" + "o" * 70 + "t", "idiot"), ("idio7", "idiot"), ("cl0w" + "n" * 2, "clown"), ('"1diot', '"idiot'), ("iiddiioott", "idiot"), ("idio+", "idiot"), ("people", "people"), ("walk-people", "walk people"), ("10-20", "10-20"), ("1 2", "1 2")],
+)
+def test_restore_other_disguises(lm, seen, plain):
+    assert toxicity.restore(f"the {seen} said", lm) == f"the {plain} said"
+
+
+def test_short_and_lettered_disguises_reach_the_lattice():
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["ass", "the", "people", "said", "shit"]) for _ in range(4000))
+    n3 = toxicity.trigram_counts(text).reshape((64,) * 3).astype(float)
+    model = np.log((n3 + 0.01) / (n3.sum(2, keepdims=True) + 0.64)).astype(np.float32)
+    for seen, plain in (("a$$", "ass"), ("@$$", "ass"), ("a55", "ass"), ("shi7", "shit"), ("a s s", "ass"), ("a s s.", "ass."), ("sshhiitt", "shit")):
+        assert toxicity.restore(f"the {seen} said", model) == f"the {plain} said", seen
+
+
 def test_toxicity_rows(spark, docs, empty):
     rng = random.Random(2)
     neutral = ["walk", "people", "said", "house", "tree", "river"]
