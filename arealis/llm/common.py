@@ -31,12 +31,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
     so a lost executor costs one stage and never a rerun of the whole plan."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,27 +51,27 @@ def free(spark: SparkSession) -> None:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(id, component)``.
 
-    Distributed union-find by label propagation: every node holds the smallest id it
-    knows and takes the smallest label among its neighbours and itself; from the third
-    round on it also follows its label's own label, so long chains shrink by half a round.
-    A round is one join and one grouped minimum, which combines before the shuffle, so a
-    hub with a third of all edges is no single task's work. Only ids that have an edge
-    appear. Raises RuntimeError if ``max_rounds`` do not suffice, so that a partial answer
-    is never returned.
+    Distributed union-find by label propagation: every node starts with the smallest id
+    among its neighbours and itself. In a round, nodes whose label has changed tell their
+    neighbours, and nodes whose label is no root any more take their label's own label, so
+    long chains shrink by half a round; what has settled makes no rows. Labels are merged
+    by a grouped minimum, which combines before the shuffle, so a hub with a third of all
+    edges is no single task's work. Only ids that have an edge appear. Raises RuntimeError
+    if ``max_rounds`` do not suffice, so that a partial answer is never returned.
     """
-    both = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))])).alias("e")).select("e.a", "e.b")
+    both = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"))])).alias("e")).select("e.a", "e.b")
     both = cut(both.distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    for i in range(max_rounds):
-        near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("before"))
-        if i >= 2:
-            far = near.select(F.col("id").alias("component"), F.col("component").alias("far"))
-            near = near.join(far, "component", "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "before")
-        new = cut(near, "labels")
-        moved = new.where("component <> before").limit(1).count()
-        labels = new.select("id", "component")
-        if not moved:
-            return labels
+    new = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component"), F.col("id").alias("before")), "labels")
+    for _ in range(max_rounds):
+        moved = new.where("component < before").select("id", "component")
+        if not moved.limit(1).count():
+            return new.select("id", "component")
+        told = both.join(moved, both.b == moved.id).select(F.col("a").alias("id"), "component")
+        far = new.where("component < id").select(F.col("id").alias("component"), F.col("component").alias("far"))
+        jumped = new.select("id", "component").join(far, "component").select("id", F.col("far").alias("component"))
+        none = F.lit(None).cast("long").alias("before")
+        merged = new.select("id", "component", F.col("component").alias("before")).unionByName(told.unionByName(jumped).select("id", "component", none))
+        new = cut(merged.groupBy("id").agg(F.min("component").alias("component"), F.max("before").alias("before")), "labels")
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
 
 
