@@ -40,6 +40,13 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_rows(df: DataFrame, run, schema: str, key: str = "doc_id") -> DataFrame:
+    """``mapInPandas`` in which the id travels as text: pandas would turn whole numbers
+    that have a null beside them into floats, which keep 53 bits of an id."""
+    out = df.withColumn(key, F.col(key).cast("string")).mapInPandas(run, schema.replace(f"{key} long", f"{key} string", 1))
+    return out.withColumn(key, F.col(key).cast("long"))
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished steps: their frames must be unreachable."""
     import gc

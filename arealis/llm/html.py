@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -48,13 +50,17 @@ ENDS = {
 }
 SCOPE = frozenset("table td th caption button html object".split())
 ATTRIBUTES = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>)""")
+#: What is given up is never tried again, and an unquoted ``<`` ends the try: a page of
+#: open tags without end takes no more steps than characters.
+TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/<>]*+)((?:[^"'<>]++|"[^"]*+"|'[^']*+')*+)>)""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 NO_DISPLAY = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-STYLE_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+|[a-z][a-z0-9]*[.#][\w-]+", re.I)
 
-MAX_CELL = 40  # columns are padded to at most this width; longer cells are kept whole and overhang
+#: Lines of a cell are wrapped at blanks to this width, so that columns stay aligned. Words
+#: that are longer widen their column, as long as a table's padding stays below PADDING
+#: times its text.
+WRAP, PADDING = 80, 8
 
 
 class Node:
@@ -69,24 +75,21 @@ def parse(html: str) -> tuple[Node, list[str]]:
     no tag is text, what is never closed ends with the page, stray end tags are ignored."""
     root = Node("#root", {})
     stack, styles, at, lower = [root], [], 0, None
-    open_tags: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    last = html.rfind(">")
 
-    def pop_to(i: int) -> None:
-        while len(stack) > i:
-            open_tags[stack.pop().tag] -= 1
+    def last_of(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(names, stops) -> None:
-        if any(open_tags.get(n) for n in names):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in names:
-                    pop_to(i)
-                    if len(names) == 1 or not any(open_tags.get(n) for n in names):
-                        return
-                elif stack[i].tag in stops:
-                    return
+        """Close the elements of these names that are open above the last stop."""
+        stop = last_of(stops)
+        lowest = min((p for n in names for p in ((places.get(n) or ())[-1:] if len(names) == 1 else places.get(n) or ()) if p > stop), default=0)
+        while lowest and len(stack) > lowest:
+            places[stack.pop().tag].pop()
 
     while True:
-        m = TAG.search(html, at)
+        m = TAG.search(html, at) if at <= last else None
         if not m:
             stack[-1].children.append(html[at:])
             return root, styles
@@ -104,7 +107,7 @@ def parse(html: str) -> tuple[Node, list[str]]:
         if m[3]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif open_tags.get(tag):
+            elif places.get(tag):
                 stops = () if tag in ("table", "html", "body") else ("table",) if tag in ("tr", "td", "th", "tbody", "thead", "tfoot", "caption") else ("td", "th", "caption")
                 close({tag}, stops)
             continue
@@ -130,17 +133,24 @@ def parse(html: str) -> tuple[Node, list[str]]:
                 node.children.append(html[at:end])
             close_at = html.find(">", end)
             at = len(html) if close_at < 0 else close_at + 1
-        elif tag not in VOID and not (m[5] and m[5].endswith("/") and (tag in ("svg", "math") or open_tags.get("svg") or open_tags.get("math"))):
+        elif tag not in VOID and not (m[5] and m[5].endswith("/") and (tag in ("svg", "math") or places.get("svg") or places.get("math"))):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            open_tags[tag] = open_tags.get(tag, 0) + 1
 
 
 def hiding_rules(styles: list[str]) -> set[str]:
     """Simple selectors (tag, .class, #id, tag.class, tag#id) that style rules hide."""
     out = set()
     for style in styles:
-        for selectors, body in STYLE_RULE.findall(re.sub(r"/\*.*?\*/", "", style, flags=re.S)):
-            if NO_DISPLAY.search(body):
+        plain = []
+        while style:
+            before, _, style = style.partition("/*")
+            plain.append(before)
+            style = style.partition("*/")[2]
+        for rule in "".join(plain).split("}")[:-1]:
+            head, brace, body = rule.rpartition("{")
+            selectors = head.rpartition("{")[2]
+            if brace and NO_DISPLAY.search(body):
                 out.update(s.strip() for s in selectors.split(",") if SIMPLE.fullmatch(s.strip()))
     return out
 
@@ -185,9 +195,10 @@ def field_text(node: Node) -> str:
 class Page:
     """Lines under construction: inline text runs on until a block ends it."""
 
-    __slots__ = ("gap", "line", "lines", "rows")
+    __slots__ = ("gap", "line", "lines", "rows", "table")
 
-    def __init__(self):
+    def __init__(self, table: bool = False):
+        self.table = table
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0
@@ -237,12 +248,29 @@ class Page:
         return lines[a:b]
 
 
+def wrapped(line: str) -> list[str]:
+    """A line of a cell, broken at blanks where it is wider than WRAP."""
+    if len(line) <= WRAP:
+        return [line]
+    out, words, size = [], [], 0
+    for word in line.split(" "):
+        if words and size + len(word) > WRAP:
+            out.append(" ".join(words))
+            words, size = [], 0
+        words.append(word)
+        size += len(word) + 1
+    return [*out, " ".join(words)]
+
+
 def lay_out(rows: list[list[list[str]]]) -> list[str]:
     """Table rows (cells of lines) as aligned text, cells set apart by `` | ``."""
+    rows = [[[x for line in cell for x in wrapped(line)] for cell in row] for row in rows]
+    n_lines = sum(max((len(c) for c in row), default=0) * len(row) for row in rows)
+    most = max(WRAP, PADDING * sum(len(x) for row in rows for cell in row for x in cell) // max(1, n_lines))
     widths: list[int] = []
     for row in rows:
         for i, cell in enumerate(row):
-            width = min(MAX_CELL, max(map(len, cell), default=0))
+            width = min(most, max(map(len, cell), default=0))
             if i == len(widths):
                 widths.append(width)
             elif width > widths[i]:
@@ -283,6 +311,9 @@ def render(html: str | None) -> str:
                 continue
             if tag in VOID or tag in UNSHOWN_MATH:
                 continue
+            if tag in ("td", "th", "tr") and not page.table:  # outside a table the tag means nothing, its text shows
+                todo += [(k, True) for k in reversed(node.children)]
+                continue
             todo.append((node, False))
             kids = node.children
             if tag == "svg":
@@ -298,7 +329,7 @@ def render(html: str | None) -> str:
             if tag == "details" and "open" not in node.attrs:
                 kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
             if tag in ("table", "li", "td", "th", "blockquote", "dd"):
-                pages.append(Page())
+                pages.append(Page(tag == "table"))
             elif tag == "tr":
                 page.rows.append([])
             elif tag in BLOCK:
@@ -352,9 +383,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "text": [render(h) for h in batch["html"]]})
+            yield pd.DataFrame({"page_id": batch["page_id"], "text": [render(h) for h in batch["html"]]})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return map_rows(pages.select("page_id", "html"), run, "page_id long, text string", "page_id").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

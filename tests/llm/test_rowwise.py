@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 
-from arealis.llm import media, pii, quality, toxicity
+from arealis.llm import lines, media, mixing, neardup, pieces, pii, quality, suffix, toxicity
 from arealis.llm.html import extract_text, render
 
 from .conftest import edge_rows
@@ -159,6 +161,72 @@ def test_deep_and_long_pages(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bit", ["<a", '<a "', "</a", "<a '", "<a b='", "<", "<!", "<p><button><b>", "<div><li><ul>", "<table><tr><td>", "&", "<td ", '<a x="<', "<style>", "<style>/*", "<svg><text>", "a "])
+def test_hostile_pages_take_little_time(bit):
+    for page in (bit * (100_000 // len(bit)), bit * (100_000 // len(bit)) + ">"):
+        at = time.process_time()
+        render(page)
+        assert time.process_time() - at < 8  # seconds for 100 KB; what is quadratic takes minutes
+
+
+def test_wide_cells_line_up():
+    got = render(f"<table><tr><td>{'x' * 60}<td>b<tr><td>a<td>c</table>").split("\n")
+    assert [x.index(" | ") for x in got] == [60, 60]
+    got = render(f"<table><tr><td>{'word ' * 60}<td>b<tr><td>a<td>c</table>").split("\n")
+    assert len({x.index(" |") for x in got if " |" in x}) == 1 and " ".join(got).split().count("word") == 60
+
+
+class Visible(HTMLParser):
+    """Words outside scripts and styles, by an independent parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.words, self.off = [], 0
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.words += data.split()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_words_of_random_pages(seed):
+    rng = random.Random(seed)
+    bits = ["<p>", "</p>", "<div class='x y'>", "</div>", "<ul><li>", "</ul>", "<table><tr><td>", "</table>", "<b>", "</b>", "<br>", "<script>var a = 1;</script>", "<style>b{color:red}</style>", " &amp; ", "<!-- no -->", "<a href=\"u>v\">", "</a>", "<h2>", "</h2>", "<td>", "</i>"]
+    page = "".join(rng.choice(bits) + f" w{i} " for i in range(80))
+    got = [w for w in render(page).split() if re.fullmatch(r"w\d+", w)]
+    assert sorted(got) == sorted(w for w in Visible(page).words if re.fullmatch(r"w\d+", w))  # text of a table that is in no cell comes first
+
+
+def test_ids_beside_a_null_keep_all_bits(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    text = " ".join(f"word{i}" for i in range(90))
+    docs = spark.createDataFrame([(i, text + str(i), "en", "s") for i in ids], "doc_id long, text string, lang string, source string").coalesce(1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    pages = docs.selectExpr("doc_id as page_id", "text as html")
+    found = [pieces.encode_sampled(docs, k=1), neardup.near_duplicates(docs), suffix.remove_repeats(docs), quality.quality_rules(docs, labels), lines.dedup_lines(docs), mixing.mix_sources(docs), extract_text(pages).withColumnRenamed("page_id", "doc_id"), pii.find_pii(docs), toxicity.toxicity(docs, labels)]
+    for got in found:
+        assert sorted(r.doc_id or 0 for r in got.select("doc_id").collect()) == [0, 2**60 + 1, 2**60 + 3], got.columns
+    removed = {r.doc_id: r.n_removed for r in found[2].collect()}
+    assert removed[2**60 + 1] == 0 < removed[2**60 + 3]
+
+
+def test_long_runs_of_digits():
+    for text in ("1" * 5000 + ".1.1.1", "1" * 200_000, "1." * 50_000, "0" * 5000 + "10.0.0.1", "+" + "1" * 100_000, "@" * 50_000, "a@" * 50_000):
+        at = time.process_time()
+        base = pii.base_spans(text)
+        pii.candidates(text, base)
+        assert time.process_time() - at < 8
+    assert pii.base_spans("0" * 5000 + "10.0.0.1") == [("ip", 0, 5008)] and not pii.base_spans("1" * 5000 + ".1.1.1")
+
+
 @pytest.fixture(scope="module")
 def lm():
     rng = random.Random(0)
@@ -189,6 +257,13 @@ def test_short_and_lettered_disguises_reach_the_lattice():
         assert toxicity.restore(f"the {seen} said", model) == f"the {plain} said", seen
 
 
+def test_letters_are_decoded_as_by_the_whole_lattice(lm):
+    rng = random.Random(6)
+    for _ in range(400):
+        seen = "".join(rng.choice("idiotclwnmr") * rng.choice([1, 1, 1, 2, 2, 3, 9]) for _ in range(rng.randint(1, 9)))
+        assert toxicity.decode_letters(seen, lm) == toxicity.decode(seen, lm), seen
+
+
 def test_toxicity_rows(spark, docs, empty):
     rng = random.Random(2)
     neutral = ["walk", "people", "said", "house", "tree", "river"]
