@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, documents, link_buckets
+from .common import components, cut, documents, link_buckets, map_rows
 
 BATCH, BATCHES = 32, 4
 FNV = np.uint64(0x9E3779B97F4A7C15)
@@ -144,10 +144,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
                 out.append((doc, len(s), one, two, band_keys(sig, bands, rows), sig[bands * rows :].astype(np.uint8).tobytes()))
             frame = pd.DataFrame(out, columns=["doc_id", "n", "one", "two", "keys", "sig"])
             one, two = (pd.array([r[i] for r in out], dtype="Int64") for i in (2, 3))  # a column of ints and None would be one of floats
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), one=one, two=two)
+            yield frame.assign(one=one, two=two)
 
     texts = docs.select("doc_id", "text")
-    signed = cut(texts.mapInPandas(sign, "doc_id long, n long, one long, two long, keys array<long>, sig binary"), "signatures")
+    signed = cut(map_rows(texts, sign, "doc_id long, n long, one long, two long, keys array<long>, sig binary"), "signatures")
     classes = cut(
         signed.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min(F.struct("doc_id", "n", "keys", "sig")).alias("x")).select("one", "two", F.col("x.doc_id").alias("id"), "x.n", "x.keys", "x.sig"),
         "classes",

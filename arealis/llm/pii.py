@@ -18,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, map_rows
 
 # The contract's patterns.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Finds the same: where a run of digits fails from its start, it fails from within.
+IP_ONCE = re.compile(r"(?<![0-9])" + IP.pattern)
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
@@ -56,6 +58,12 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, of any number of digits."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -77,7 +85,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return out
     if _DOTTED.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP_ONCE.finditer(text) if all(_octet(x) for x in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _digits(m[0])
@@ -176,7 +184,19 @@ def candidates(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple
             i += 1
         if (i == len(spans) or spans[i][0] >= end) and (not m[0].isalpha() or m[0].isupper()):
             found.append((start, end))
-    return [(a, b, cell_of(text, a, b)) for a, b in sorted(spans + found) if not any(x < b and a < y for _, x, y in base)]
+    taken: list[list[int]] = []  # base spans, merged where they overlap
+    for _, x, y in sorted(base, key=lambda s: s[1]):
+        if taken and x <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], y)
+        else:
+            taken.append([x, y])
+    out, i = [], 0
+    for a, b in sorted(spans + found):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i == len(taken) or taken[i][0] >= b:
+            out.append((a, b, cell_of(text, a, b)))
+    return out
 
 
 def fit_reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +254,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Spans of personal data in every whole text of ``docs(doc_id, text)``, a row a row.
 
     Returns doc_id, counts of the base kinds, base_sha256 over the base spans, spans (base
-    and added ones; kind ``secret`` is what the classifier adds) and n_secret. A null or
+    and added ones; kind ``secret`` is what the classifier adds), n_secret, and n_private,
+    the number of all spans: 0 marks a document without personal data. Texts may be of any
+    length and hold runs of digits of any length. A null or
     empty text has no spans. Repeated rows give repeated rows. An empty table gives an
     empty result. Other columns are ignored. The driver gets counts of cells, whose
     number has a fixed bound, never spans or texts.
@@ -249,11 +271,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 said = _joined(base)
                 out.append((doc, *n, hashlib.sha256(said.encode()).hexdigest(), said, [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]))
-            frame = pd.DataFrame(out, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "starts", "ends", "cells"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            yield pd.DataFrame(out, columns=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "starts", "ends", "cells"])
 
     found = cut(
-        docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, starts array<int>, ends array<int>, cells array<int>"),
+        map_rows(docs.select("doc_id", "text"), scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, starts array<int>, ends array<int>, cells array<int>"),
         "pii",
     )
     counts = found.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
@@ -267,6 +288,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
         F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), added).alias("spans"),
         F.size(taken).cast("long").alias("n_secret"),
+        (F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.size(taken)).alias("n_private"),
     )
 
 

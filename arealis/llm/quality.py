@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, map_rows
 
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -75,7 +75,7 @@ def measures(docs: DataFrame) -> DataFrame:
             found = pd.DataFrame([measure(t) for t in batch["text"]], columns=[x.split()[0] for x in MEASURES.split(", ")], dtype="int64")
             yield pd.concat([batch[["doc_id", "stratum"]].reset_index(drop=True), found], axis=1)
 
-    return docs.select("doc_id", "text", "stratum").mapInPandas(run, f"doc_id long, stratum string, {MEASURES}")
+    return map_rows(docs.select("doc_id", "text", "stratum"), run, f"doc_id long, stratum string, {MEASURES}")
 
 
 def rules() -> dict[str, Column]:
