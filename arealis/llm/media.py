@@ -225,4 +225,4 @@ def media_columns(docs: DataFrame, root: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(documents(spark, sf_dir), new_path(spark, "media")).drop("shard", "offset")
+    return media_columns(documents(spark, sf_dir), new_path(spark, "media")).withColumnsRenamed({"shard": "media_shard", "offset": "media_offset"})
