@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_rows
 
 SEGMENT = re.compile(r" [^ \n]*|\n|[^ \n]+")
 BLOCK_CHARS = 1_000_000
@@ -37,7 +37,7 @@ BASE = np.uint64(0xD6E8FEB86659FD93)
 #: ``uniform`` has 53 bits, so Gumbel noise lies in (-NOISE, NOISE_MOST): a node whose set
 #: weighs less than the k-th best by more than that cannot be among the k best. Nodes are
 #: valued for the NEAR first decisions and, only where that doesn't settle it, for all.
-NOISE, NOISE_MOST, NEAR = math.log(37.5), 37.5, 256
+NOISE, NOISE_MOST, NEAR = math.log(37.5), 37.5, 160
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,7 +101,11 @@ class Vocabulary:
         rest = np.setdiff1d(np.arange(len(strings)), keep)
         order = np.argsort(hashes[rest])
         self.keys2, self.values2 = np.append(hashes[rest][order], np.uint64(2**64 - 1)), np.append(values[rest][order], -1)
-        self.bytes_of = {i: s.encode() for i, s, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        spelt = {i: s.encode() for i, s, _ in pieces} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        spelling = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
+        self.size = np.array([len(x) for x in spelling])
+        self.begin = np.cumsum(self.size) - self.size
+        self.spelling = np.frombuffer(b"".join(spelling), np.uint8)
 
     @staticmethod
     def _slots(h: np.ndarray, bits: int) -> np.ndarray:
@@ -181,11 +185,10 @@ class Lattice:
             top = total.max(1)
             total -= top[:, None]
             back[at] = top + np.log(np.exp(total, out=total).sum(1))
-        self.chance = np.empty((n, width), dtype=np.float32)
-        padded = np.concatenate([back, np.zeros(width)])
-        for k in range(width):  # a column at a time keeps the working set small
-            with np.errstate(invalid="ignore"):
-                self.chance[:, k] = np.exp(weight[:, k] + padded[k + 1 : k + 1 + n] - back)
+        self.chance = np.zeros((n, width), dtype=np.float32)
+        for k, (at, _) in enumerate(edges):
+            at = np.concatenate([at, bare]) if k == 0 else at
+            self.chance[at, k] = np.exp(weight[at, k] + back[at + k + 1] - back[at])
         self.sums = np.cumsum(self.chance, axis=1)
         self.width = width
 
@@ -211,7 +214,7 @@ def _walk(lat: Lattice, state: np.ndarray, stop: np.ndarray, seed: np.ndarray) -
         with np.errstate(over="ignore"):
             u = uniform(seed[live] + count[live].astype(np.uint64) * M1)
         row = lat.sums[s]
-        k = np.minimum((row <= (u * row[:, -1])[:, None]).sum(1), lat.width - 1)
+        k = (row > (u * row[:, -1])[:, None]).argmax(1)  # u < 1, so there is one
         steps.append((live, s, k))
         count[live] += 1
         state[live] = s + k + 1
@@ -226,13 +229,12 @@ def _walk(lat: Lattice, state: np.ndarray, stop: np.ndarray, seed: np.ndarray) -
 def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each non-empty text up to k (log-probability, perturbed value, inclusion
     probability, ids), by falling perturbed value."""
-    number: dict[str, int] = {}
     segments_of = [SEGMENT.findall(" " + t) for t in texts]
-    words = np.array([number.setdefault(s, len(number)) for found in segments_of for s in found], dtype=np.int64)
-    lat = Lattice(list(number), v)
+    words, distinct = pd.factorize(np.array([s for found in segments_of for s in found], dtype=object))
+    lat = Lattice(distinct.tolist(), v)
     n_docs = len(texts)
     sizes = np.array([len(f) for f in segments_of], dtype=np.int64)
-    del segments_of, number
+    del segments_of, distinct
     first_word = np.concatenate([[0], np.cumsum(sizes)])
     word_at = np.arange(len(words)) - np.repeat(first_word[:-1], sizes)
     key = mix(np.array([x & (2**64 - 1) for x in keys], dtype=np.uint64) + M1)
@@ -359,8 +361,10 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of a sequence of ids; the inverse of every segmentation."""
-    raw = b"".join(map(v.bytes_of.__getitem__, ids.tolist()))
-    return raw[1:].decode("utf-8", "surrogatepass")
+    size = v.size[ids]
+    end = np.cumsum(size)
+    at = np.arange(end[-1] if len(end) else 0) + np.repeat(v.begin[ids] - end + size, size)
+    return v.spelling[at].tobytes()[1:].decode("utf-8", "surrogatepass")
 
 
 def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -391,15 +395,14 @@ def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str |
         def flush(rows):
             out = []
             full = [r for r in rows if r[1]]
-            found = sample_block([(r[0] or 0) * 0x100000001B3 + zlib.crc32(r[1].encode("utf-8", "surrogatepass")) for r in full], [r[1] for r in full], k, v) if full else []
+            found = sample_block([int(r[0] or 0) * 0x100000001B3 + zlib.crc32(r[1].encode("utf-8", "surrogatepass")) for r in full], [r[1] for r in full], k, v) if full else []
             samples = iter(found)
             for doc, text, *kept in rows:
                 for i, (p, g, q, ids) in enumerate(next(samples) if text else [(0.0, 0.0, 1.0, np.empty(0, np.int32))]):
                     ok = decode(ids, v) == text if text else True
                     ids = ids.astype("<i4")
                     out.append((doc, i + 1, len(ids), p, g, q, ok, zlib.crc32(ids.tobytes()) if digest else ids, *kept))
-            frame = pd.DataFrame(out, columns=["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "round_trip", last[0], *carry])
-            return frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            return pd.DataFrame(out, columns=["doc_id", "sample", "n_tokens", "log_prob", "perturbed", "inclusion", "round_trip", last[0], *carry])
 
         rows, size = [], 0
         for batch in batches:
@@ -408,13 +411,13 @@ def encode_sampled(docs: DataFrame, k: int = 3, digest: bool = True, path: str |
                 if rows and size + len(text) > BLOCK_CHARS:
                     yield flush(rows)
                     rows, size = [], 0
-                rows.append((None if pd.isna(doc) else int(doc), text, *kept))
+                rows.append((doc if isinstance(doc, str) else None, text, *kept))
                 size += len(text)
         if rows:
             yield flush(rows)
 
-    return docs.select("doc_id", "text", *carry).mapInPandas(
-        run, f"doc_id long, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, round_trip boolean, {last[0]} {last[1]}" + "".join(f", {c} long" for c in carry)
+    return map_rows(
+        docs.select("doc_id", "text", *carry), run, f"doc_id long, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, round_trip boolean, {last[0]} {last[1]}" + "".join(f", {c} long" for c in carry)
     )
 
 

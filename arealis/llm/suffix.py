@@ -22,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, free
+from .common import cut, documents, free, map_rows
 
 MATCH, GRAM = 100, 24
 SPAN = MATCH - GRAM + 1  # grams in a string of MATCH bytes
 BLOCK = 256
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 STEP = 32  # every STEP-th common prefix is measured; the others follow where it is long
 
 
@@ -273,11 +273,9 @@ def repeated_starts(parts: list[bytes], docs: np.ndarray, starts: np.ndarray) ->
     sa = suffix_array(t, 258)
     # 8-bit symbols suffice to compare: a string that may be removed holds no separator.
     same = long_prefixes(np.concatenate([raw, np.zeros(1, np.uint8)]), sa)
-    left = np.repeat(first + sizes, sizes + 1) - np.arange(n)
-    owner = np.repeat(np.arange(len(parts)), sizes + 1)
     doc_rank = np.unique(docs, return_inverse=True)[1].ravel()
-    place = (doc_rank[owner].astype(np.int64) << 40) + starts[owner] + (np.arange(n) - first[owner])
-    whole = left >= MATCH
+    place = np.repeat((doc_rank.astype(np.int64) << 40) + starts - first, sizes + 1) + np.arange(n)
+    whole = np.repeat((first + sizes).astype(np.int32), sizes + 1) - np.arange(n, dtype=np.int32) >= MATCH
     place[~whole] = np.iinfo(np.int64).max
     sa = sa[sa < n]
     begins = np.flatnonzero(~same[sa])
@@ -307,7 +305,7 @@ def parts_frame(out: list[tuple]) -> pd.DataFrame:
     return f.assign(**whole)
 
 
-def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of
     ``docs(doc_id, text)``: what is left without the bytes that a string of MATCH bytes
     covers which also starts earlier, by doc_id and then by place.
@@ -317,8 +315,8 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
     and give repeated rows. A null doc_id comes last and is given nothing to remove. An
     empty table gives an empty result; other columns are ignored.
 
-    A shard takes whole groups of anchors, of at most ``hot`` occurrences each, so its
-    memory is bounded. An anchor that occurs more often is settled string by string: hashes
+    A shard takes whole groups of anchors, of at most ``hot`` occurrences each, and of
+    equal parts in a group the first alone, so its memory is bounded. An anchor that occurs more often is settled string by string: hashes
     (128 bits) of the SPAN strings around each of its places are grouped, each once a
     document, which combines before the shuffle and needs no group in one task.
     """
@@ -363,10 +361,10 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
 
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "packed": [z.compress(r) for r in batch["raw"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": [z.compress(r) for r in batch["raw"]]})
 
     # Rows are compressed one by one before they are shuffled: Spark's own blocks compress less.
-    packed = texts.mapInPandas(squeeze, "doc_id long, packed binary")
+    packed = map_rows(texts, squeeze, "doc_id long, packed binary")
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows of a part: its shard's key, or for a hot anchor a string's hash."""
@@ -426,19 +424,29 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
                     out += zip([doc] * len(a), a.tolist(), b.tolist(), strict=True)
             return pd.DataFrame(out, columns=["doc_id", "a", "b"])
 
-        held, size, last = [], 0, None
+        held, size, last, seen = [], 0, None, {}
         for batch in batches:
-            for row in zip(batch["key"], batch["doc_id"], batch["start"], batch["bytes"], strict=True):
-                if row[0] != last and size > SHARD_BYTES:
-                    yield solve(held)
-                    held, size = [], 0
-                last = row[0]
-                held.append((int(row[0]), int(row[1]), int(row[2]), bytes(row[3])))
-                size += len(row[3]) + 1
+            again = []
+            for key, doc, start, part in zip(batch["key"], batch["doc_id"], batch["start"], batch["bytes"], strict=True):
+                if key != last:
+                    if size > SHARD_BYTES:
+                        yield solve(held)
+                        held, size = [], 0
+                    last, seen = key, {}
+                part = bytes(part)
+                if part in seen:  # all its strings start earlier, where the part came first
+                    if seen[part] != (doc, start):  # else a repeated row
+                        again.append((int(doc), int(start), int(start) + len(part)))
+                    continue
+                seen[part] = doc, start
+                held.append((int(key), int(doc), int(start), part))
+                size += len(part) + 1
+            if again:
+                yield pd.DataFrame(again, columns=["doc_id", "a", "b"])
         if held:
             yield solve(held)
 
-    cold = parts.where("bytes is not null").select("key", "doc_id", "start", "bytes").repartition("key").sortWithinPartitions("key")
+    cold = parts.where("bytes is not null").select("key", "doc_id", "start", "bytes").repartition("key").sortWithinPartitions("key", "doc_id", "start")
     spans = cold.mapInPandas(shards, "doc_id long, a long, b long")
     strings = parts.where("more is not null").select("key", "more", "doc_id", "start")
     # The earliest place of a string: its smallest doc_id, then the smallest start there.
@@ -468,13 +476,12 @@ def remove_repeats(docs: DataFrame, hot: int = 40_000) -> DataFrame:
                     removed += max(0, hi - max(lo, at))
                     at = max(at, hi)
                 kept.update(raw[at:])
-                out.append((None if pd.isna(doc) else int(doc), len(raw), int(removed), n, kept.hexdigest()))
-            f = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            yield f.assign(doc_id=f["doc_id"].astype("Int64"))
+                out.append((doc, len(raw), int(removed), n, kept.hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     facts = gone.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full")
-    return packed.join(facts, "doc_id", "left").select("doc_id", "packed", "copy", "a", "b").mapInPandas(
-        settle, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return map_rows(
+        packed.join(facts, "doc_id", "left").select("doc_id", "packed", "copy", "a", "b"), settle, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 

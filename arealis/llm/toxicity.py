@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, map_rows
 
 SYMBOLS = 64  # 0 is what is no letter, 1-26 are a-z, the rest are shared by other letters
 
@@ -37,6 +37,7 @@ WORDY = "@$!|+€£"
 HIDDEN = re.compile(rf"[^\W\d_][{_SIGNS}*]|[{_SIGNS}][^\W\d_]|[{_SIGNS}][{re.escape(WORDY)}]|[{re.escape(WORDY)}][{_SIGNS}]|([^\W\d_])\1|[^\W\d_][.*_-]+[^\W_]|\d[.*_-]+[^\W\d_]")
 SPACED = re.compile(rf"(?<![^\s\"'(])(?:[^\W_]|[{_SIGNS}])(?:[ .*_-]{{1,2}}(?:[^\W_]|[{_SIGNS}]))+(?=[\s.,!?;:\"')]|$)")
 WORD = re.compile(r"[^\W\d_]+")
+TOKEN = re.compile(r"\S+")
 
 
 def symbol(c: str) -> int:
@@ -124,51 +125,85 @@ def decode(seen: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
-_held: list = [None, {}]  # a model and what it has decoded: words come again and again
+REPEATED = re.compile(r"([^\W\d_])\1+")
+
+
+def decode_letters(seen: str, model: np.ndarray) -> str:
+    """``decode`` for letters alone. There a repeated letter is the only choice, and one or
+    two of it change no trigram but those that end in it or right after it, so that each
+    choice is made by itself."""
+    out, at = [], 0
+    for m in REPEATED.finditer(seen):
+        start, stop = m.span()
+        c = symbol(m[1])
+        before = symbol(seen[start - 1]) if start else 0
+        after = symbol(seen[stop]) if stop < len(seen) else 0
+        two = model[before, c, c] + model[c, c, after] - (SHORTEN if stop - start > 2 else 0.0)
+        one = model[before, c, after] - (SHORTEN if stop - start > 2 else HALVE)
+        out += [seen[at:start], m[1] * (2 if two >= one else 1)]
+        at = stop
+    return "".join(out) + seen[at:]
 
 
 def decoded(seen: str, model: np.ndarray) -> str:
-    """``decode``, remembered; what has no letter and no sign beside digits stays a number."""
-    if not any(c.isalpha() or c in WORDY for c in seen):
-        return seen
-    if _held[0] is not model or len(_held[1]) > 100_000:
-        _held[:] = [model, {}]
-    got = _held[1].get(seen)
-    if got is None:
-        got = decode(seen, model)
-        if len(seen) <= 64:  # longer ones are decoded anew each time
-            _held[1][seen] = got
-    return got
+    """``decode``; what has no letter and no sign beside digits stays a number."""
+    if seen.isalpha():
+        return decode_letters(seen, model)
+    return decode(seen, model) if any(c.isalpha() or c in WORDY for c in seen) else seen
 
 
-def restore(text: str, model: np.ndarray) -> str:
-    """Lower-cased text with each suspect stretch replaced by what it stands for."""
-    low = text.lower()
-    low = SPACED.sub(lambda m: decoded(m[0], model), low)
-    if not HIDDEN.search(low):
-        return low
-    out, at = [], 0
-    for m in HIDDEN.finditer(low):
-        if m.start() < at:
-            continue
-        start = max(low.rfind(" ", 0, m.start()), low.rfind("\n", 0, m.start()), low.rfind("\t", 0, m.start())) + 1
-        end = m.end()
-        while end < len(low) and not low[end].isspace():
-            end += 1
-        start, stop = max(start, at), end
-        while start < stop and not (low[start].isalpha() or low[start] in LOOKS_LIKE):
-            start += 1
-        while stop > start and not (low[stop - 1].isalpha() or low[stop - 1] in LOOKS_LIKE and low[stop - 1] != "!"):
-            stop -= 1
-        out += [low[at:start], decoded(low[start:stop], model)]
-        at = stop
-    return "".join(out) + low[at:]
+def restore_token(token: str, model: np.ndarray) -> str:
+    """A lower-case token without white space, decoded between its outer punctuation if it
+    is suspect."""
+    if not HIDDEN.search(token):
+        return token
+    start, stop = 0, len(token)
+    while start < stop and not (token[start].isalpha() or token[start] in LOOKS_LIKE):
+        start += 1
+    while stop > start and not (token[stop - 1].isalpha() or token[stop - 1] in LOOKS_LIKE and token[stop - 1] != "!"):
+        stop -= 1
+    return token[:start] + decoded(token[start:stop], model) + token[stop:]
+
 
+def joined(text: str, model: np.ndarray) -> str:
+    """Lower-cased text with letters set apart by blanks or signs decoded together."""
+    return SPACED.sub(lambda m: decoded(m[0], model), text.lower())
 
-def features(text: str | None, model: np.ndarray) -> set[str]:
-    """Words of the restored text and their beginnings of 4, 5 and 6 letters."""
-    words = set(WORD.findall(restore(text, model))) if text else set()
-    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in (4, 5, 6)))
+
+def restore(text: str, model: np.ndarray) -> str:
+    """Lower-cased text with each suspect stretch replaced by what it stands for."""
+    return TOKEN.sub(lambda m: restore_token(m[0], model), joined(text, model))
+
+
+class Features(dict):
+    """Token -> what it adds to a text's features: the words of the restored token and
+    their beginnings of 4, 5 and 6 letters, as numbers of ``known`` where that is given.
+    Tokens come again and again and are remembered, but for long ones."""
+
+    def __init__(self, model: np.ndarray, known: dict[str, int] | None = None):
+        self.model, self.known = model, known
+
+    def __missing__(self, token: str) -> tuple:
+        restored, known, out = restore_token(token, self.model), self.known, []
+        for word in (restored,) if restored.isalpha() else WORD.findall(restored):
+            for f in (word, *(word[:k] + "*" for k in (4, 5, 6) if len(word) > k)):
+                if known is None:
+                    out.append(f)
+                elif f in known:
+                    out.append(known[f])
+        if len(token) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[token] = tuple(out)
+        return tuple(out)
+
+    def of(self, text: str | None) -> set:
+        """Features of a whole text."""
+        out: set = set()
+        for token in set(joined(text, self.model).split()) if text else ():
+            if found := self[token]:
+                out.update(found)
+        return out
 
 
 def choose(pos: Counter, neg: Counter, n_pos: int, n_neg: int, most: int) -> list[str]:
@@ -226,10 +261,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_f
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "toxic-sample")  # known has about most_rows rows at most
 
     def count(batches):
-        pos, neg, n_pos, n_neg = Counter(), Counter(), 0, 0
+        pos, neg, n_pos, n_neg, features = Counter(), Counter(), 0, 0, Features(model)
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                (pos if toxic else neg).update(features(text, model))
+                (pos if toxic else neg).update(features.of(text))
                 n_pos, n_neg = n_pos + bool(toxic), n_neg + (not toxic)
         rows = [(f, pos[f], neg[f]) for f in pos]
         yield pd.DataFrame([*rows, ("", n_pos, n_neg)], columns=["f", "pos", "neg"])
@@ -244,20 +279,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_f
     at = {f: i for i, f in enumerate(chosen)}
 
     def rows_of(batches):
+        features = Features(model, at)
         for batch in batches:
-            found = [sorted(at[f] for f in features(text, model) if f in at) for text in batch["text"]]
+            found = [sorted(features.of(text)) for text in batch["text"]]
             yield pd.DataFrame({"f": found, "toxic": batch["toxic"].astype(int)})
 
     train = sample.mapInPandas(rows_of, "f array<int>, toxic int").collect()
     weights = fit(sorted((list(r["f"]), int(r["toxic"] > 0)) for r in train), len(at))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features(model, at)
         for batch in batches:
-            s = [sum(weights[i] for i in sorted(at[f] for f in features(text, model) if f in at)) for text in batch["text"]]
+            s = [sum(weights[i] for i in sorted(features.of(text))) for text in batch["text"]]
             p = 1 / (1 + np.exp(-np.clip(np.array(s, dtype=float) + weights[-1], -40, 40)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": p})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p})
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, score double").select(
+    return map_rows(docs.select("doc_id", "text"), score, "doc_id long, score double").select(
         "doc_id",
         F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
         "score",

@@ -15,7 +15,7 @@ def v():
 
 
 def all_segmentations(text, v):
-    by = {x.decode(): i for i, x in v.bytes_of.items() if i > 258}
+    by = {bytes(v.spelling[a : a + n]).decode(): i for i, (a, n) in enumerate(zip(v.begin, v.size, strict=True)) if i > 258}
     weight = dict(zip(v.ids.tolist(), v.weights.tolist(), strict=True))
     out, s = {}, " " + text
 
