@@ -805,12 +805,20 @@ def _(s, d):
     return rounded(O.completeness(D.cells(s, d), D.quarters(s, d), 1.0))
 
 
-@query("homogeneity")
+# The same with the maps' roles exchanged: entropies of the cells within each quarter.
+INNER = "SELECT c AS id, any_value(s.a) AS a, greatest(sum(CASE WHEN o.a > 0 THEN -(o.a / s.a) * ln(o.a / s.a) ELSE 0 END), 0) AS h FROM o JOIN shapes s ON s.id = c GROUP BY c"
+OUTER = "SELECT q AS id, any_value(s.a) AS a, greatest(sum(CASE WHEN o.a > 0 THEN -(o.a / s.a) * ln(o.a / s.a) ELSE 0 END), 0) AS h FROM o JOIN (SELECT id, (x1 - x0) * (y1 - y0) AS a FROM quarters) s ON s.id = q GROUP BY q"
+OWN_CELLS = "own_cells AS (SELECT sum(-(a / t) * ln(a / t)) AS own FROM (SELECT a, sum(a) OVER () AS t FROM shapes))"
+HOMOGENEITY = f"hom AS (SELECT sum(a * (1 - h / own)) / sum(a) AS homogeneity FROM ({OUTER}), own_cells GROUP BY own)"
+COMPLETENESS = f"com AS (SELECT sum(a * (1 - h / own)) / sum(a) AS completeness FROM ({INNER}), own GROUP BY own)"
+
+
+@query("homogeneity", f"WITH {LAP}, {OWN_CELLS}, {HOMOGENEITY} SELECT round(homogeneity, 6) AS homogeneity FROM hom")
 def _(s, d):
     return rounded(O.homogeneity(D.cells(s, d), D.quarters(s, d), 1.0))
 
 
-@query("external_entropy")
+@query("external_entropy", f"WITH {LAP}, {OWN}, {OWN_CELLS}, {HOMOGENEITY}, {COMPLETENESS} SELECT round(2 * homogeneity * completeness / (homogeneity + completeness), 6) AS v FROM hom, com")
 def _(s, d):
     return rounded(O.external_entropy(D.cells(s, d), D.quarters(s, d), 1.0))
 
@@ -822,7 +830,13 @@ def _(s, d):
     return rounded(B.by_col(n, D.lattice(n, 40), ["y"], L.moran_local, ["i"]).select("id", "y_i"))
 
 
-@query("by_pair")
+@query(
+    "by_pair",
+    f"""WITH {D.NATION}, {D.lattice_sql(5)}, {D.ROW}, long AS (SELECT id, 'y' AS v, y AS q FROM nodes UNION ALL SELECT id, 'x', x FROM nodes UNION ALL SELECT id, 'e', e FROM nodes),
+z AS (SELECT id, v, (q - avg(q) OVER (PARTITION BY v)) / stddev_samp(q) OVER (PARTITION BY v) AS z FROM long)
+SELECT a.v AS x, b.v AS y, round(sum(weight * a.z * b.z) / 24, 6) AS i FROM w JOIN z a ON a.id = focal JOIN z b ON b.id = neighbor
+WHERE a.v = 'y' AND b.v IN ('x', 'e') OR a.v = 'x' AND b.v = 'e' GROUP BY ALL""",
+)
 def _(s, d):
     n = D.nation(s, d)
     return rounded(B.by_pair(n, D.lattice(n, 5), ["y", "x"], ["x", "e"], S.moran_bv))
