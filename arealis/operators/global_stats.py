@@ -157,8 +157,7 @@ def gamma(nodes: DataFrame, weights: DataFrame, y: str = "y", operation: str | C
 
 def join_counts(nodes: DataFrame, weights: DataFrame, y: str = "y", reps: int = 0, seed: int = 42) -> DataFrame:
     """Join counts of a binary variable: bb, ww, bw, j, both autocorrelations and Yates'
-    chi-square of the 2 x 2 table of joins. Replicates with an empty expected cell are
-    drawn again in the form of skipping them."""
+    chi-square of the 2 x 2 table of joins."""
     w = transform(weights, "b")
     d = nodes.withColumn("y", (F.col(y) == 1).cast("int"))
     i, j = F.col("i_y"), F.col("j_y")

@@ -193,7 +193,13 @@ def _(s, d):
     return rounded(S.gamma(n, D.lattice(n, 40), "x", lambda a, b: F.least(a, b)), 3)
 
 
-@query("gamma_permutation")
+@query(
+    "gamma_permutation",
+    f"""WITH {D.NATION}, {D.lattice_sql(5)}, {ZS}, {perm_sql('z')}, o AS (SELECT sum(a.z * b.z) AS g FROM edges JOIN z a ON a.id = focal JOIN z b ON b.id = neighbor),
+s AS (SELECT a.rep, sum(a.z * b.z) AS sim FROM edges JOIN z p ON p.id = focal JOIN z q ON q.id = neighbor JOIN perm a ON a.pos = p.pos JOIN perm b ON b.pos = q.pos AND a.rep = b.rep GROUP BY a.rep),
+t AS (SELECT g, (sum(CASE WHEN round(sim, 10) >= round(g, 10) THEN 1 ELSE 0 END) + 1) / {REPS + 1}.0::DOUBLE AS p, avg(sim) AS m, stddev_pop(sim) AS d, min(sim) AS lo, max(sim) AS hi FROM s, o GROUP BY g)
+SELECT {r6(gamma='g', p_sim_g='CASE WHEN p > 0.5 THEN 1 - p ELSE p END', g_z='(g - m) / d', min_g='lo', mean_g='m', max_g='hi')} FROM t""",
+)
 def _(s, d):
     n = D.nation(s, d)
     return rounded(S.gamma(n, D.lattice(n, 5), "y", "c", standardize=True, reps=REPS))
@@ -235,7 +241,19 @@ def _(s, d):
     return rounded(S.lee(n, D.lattice(n, 40), "x", "y", kind="r"))
 
 
-@query("lee_permutation")
+LEE_CELLS = "SELECT 'x' AS a, 'x' AS b, xx / d AS {v} FROM {t} UNION ALL SELECT 'x', 'y', xy / d FROM {t} UNION ALL SELECT 'y', 'x', xy / d FROM {t} UNION ALL SELECT 'y', 'y', yy / d FROM {t}"
+
+
+@query(
+    "lee_permutation",
+    f"""WITH {D.NATION}, {D.lattice_sql(5)}, {D.ROW}, z AS (SELECT *, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS zx, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS zy FROM nodes), {perm_sql('zx', 'zy')},
+l AS (SELECT focal, sum(weight * zx) AS lx, sum(weight * zy) AS ly, sum(weight) AS wi FROM w JOIN z ON z.id = neighbor GROUP BY focal), g AS (SELECT sum(wi * wi) AS d, sum(lx * lx) AS xx, sum(lx * ly) AS xy, sum(ly * ly) AS yy FROM l),
+k AS (SELECT rep, focal, sum(weight * m.zx) AS lx, sum(weight * m.zy) AS ly FROM w JOIN z ON z.id = neighbor JOIN perm m ON m.pos = z.pos GROUP BY rep, focal),
+r AS (SELECT rep, any_value(d) AS d, sum(lx * lx) AS xx, sum(lx * ly) AS xy, sum(ly * ly) AS yy FROM k, (SELECT d FROM g) GROUP BY rep),
+o AS ({LEE_CELLS.format(v='l', t='g')}), s AS ({LEE_CELLS.format(v='sim', t='r')}),
+c AS (SELECT o.a, o.b, l, sum(CASE WHEN round(sim, 10) >= round(l, 10) THEN 1 ELSE 0 END) AS n FROM o JOIN s ON o.a = s.a AND o.b = s.b GROUP BY ALL)
+SELECT a, b, {r6(l='l', p_sim=f'(least(n, {REPS} - n) + 1) / {REPS + 1}.0::DOUBLE')} FROM c""",
+)
 def _(s, d):
     n = D.nation(s, d)
     return rounded(S.lee(n, D.lattice(n, 5), "x", "y", kind="r", reps=REPS))
