@@ -36,8 +36,8 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: ``uniform`` has 53 bits, so Gumbel noise lies in (-NOISE, NOISE_MOST): a node whose set
 #: weighs less than the k-th best by more than that cannot be among the k best. Nodes are
-#: valued for the NEAR first decisions and, only where that doesn't settle it, for all.
-NOISE, NOISE_MOST, NEAR = math.log(37.5), 37.5, 160
+#: valued for the NEAR first decisions, and then as far as that rule asks.
+NOISE, NOISE_MOST, NEAR = math.log(37.5), 37.5, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,92 +138,132 @@ class Vocabulary:
 
 class Lattice:
     """The lattices of distinct segments, side by side: state s is a character, and a
-    segment's end is the state one past its last character."""
+    segment's end is the state one past its last character. Edges are pieces; those of a
+    state stand together, the longest first, and states by their distance to the end."""
 
     def __init__(self, segments: list[str], vocabulary: Vocabulary):
-        v = self.v = vocabulary
+        v = vocabulary
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
         self.start = np.cumsum(sizes + 1) - sizes - 1
-        self.end = self.start + sizes
+        end = self.start + sizes
         text = "\0".join([*segments, ""])
-        self.code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n = len(self.code)
-        left = np.repeat(self.end, sizes + 1) - np.arange(n)  # characters from a state to its segment's end
-        live, edges = np.flatnonzero(left > 0).astype(np.int32), []
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(code)
+        left = (np.repeat(end, sizes + 1) - np.arange(n)).astype(np.int32)  # characters from a state to its segment's end
+        longest = int(left.max(initial=0))
+        # 16 bits are sorted by digits. The ends come first, and have no edges.
+        order = np.argsort(left.astype(np.uint16) if longest < 1 << 16 else left, kind="stable")[len(segments) :].astype(np.int32)
+        left = left[order]
+        bounds = np.searchsorted(left, np.arange(1, longest + 2))
+        live, edges = np.arange(len(order), dtype=np.int32), []
         h = np.zeros(len(live), np.uint64)
         for k in range(v.longest):
-            fits = left[live] > k
-            live, h = live[fits], h[fits]
+            fits = int(np.searchsorted(live, bounds[min(k, longest)]))
+            live, h = live[fits:], h[fits:]
             with np.errstate(over="ignore"):
-                h = h * BASE + self.code[live + k] + np.uint64(1)
+                h = h * BASE + code[order[live] + k] + np.uint64(1)
             hit, value = v.find(h)
             live, h, value = live[hit], h[hit], value[hit]
             full = value >= 0
-            edges.append((live[full], value[full]))
+            edges.append((live[full], v.ids[value[full]], v.weights[value[full]]))
             if not len(live):
                 break
-        while len(edges) > 1 and not len(edges[-1][0]):
-            edges.pop()
-        width = len(edges)
-        self.piece = np.full((n, width), -1, dtype=np.int32)
-        weight = np.full((n, width), -np.inf, dtype=np.float32)
-        for k, (at, value) in enumerate(edges):
-            self.piece[at, k] = v.ids[value]
-            weight[at, k] = v.weights[value]
-        bare = np.flatnonzero((self.piece[:, 0] < 0) & (left > 0))  # characters that only byte pieces spell
-        code = self.code[bare].astype(np.int64)
-        n_bytes = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
-        self.piece[bare, 0] = np.where(code < 0x80, v.byte_ids[np.minimum(code, 0x7F)], -code - 2)
-        weight[bare, 0] = v.byte_weight * n_bytes
-        back, steps = np.zeros(n), np.arange(1, width + 1)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        spelt = np.ones(len(order), bool)
+        spelt[edges[0][0]] = False
+        bare = np.flatnonzero(spelt).astype(np.int32)  # characters that only byte pieces spell
+        c = code[order[bare]].astype(np.int64)
+        n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        bytes_of = np.where(c < 0x80, v.byte_ids[np.minimum(c, 0x7F)], -c - 2)
+        edges[0] = tuple(np.concatenate(x) for x in zip(edges[0], (bare, bytes_of, v.byte_weight * n_bytes), strict=True))
+        count = np.zeros(len(order), np.int32)
+        for at, _, _ in edges:
+            count[at] += 1
+        first = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        total = int(first[-1])
+        self.piece, self.next, weight = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+        free = first[:-1].copy()
+        for k in range(len(edges) - 1, -1, -1):
+            at, piece, w = edges[k]
+            slot = free[at]
+            free[at] += 1
+            self.piece[slot], weight[slot], self.next[slot] = piece, w, order[at] + (k + 1)
+        del edges, free
+        #: A state's first edge, or -1 at an end, and the number of its edges.
+        self.first, self.count = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        self.first[order], self.count[order] = first[:-1], count
+        back, self.log, self.chance = np.zeros(n), np.empty(total), np.empty(total)
         for d in range(len(bounds) - 1):
-            at = order[bounds[d] : bounds[d + 1]]
-            k = min(width, d + 1)
-            total = weight[at, :k] + back[at[:, None] + steps[:k]]
-            top = total.max(1)
-            total -= top[:, None]
-            back[at] = top + np.log(np.exp(total, out=total).sum(1))
-        self.chance = np.zeros((n, width), dtype=np.float32)
-        for k, (at, _) in enumerate(edges):
-            at = np.concatenate([at, bare]) if k == 0 else at
-            self.chance[at, k] = np.exp(weight[at, k] + back[at + k + 1] - back[at])
-        self.sums = np.cumsum(self.chance, axis=1)
-        self.width = width
+            i, j = bounds[d], bounds[d + 1]
+            begin, stop = first[i], first[j]
+            own, many = first[i:j] - begin, count[i:j]
+            x = weight[begin:stop] + back[self.next[begin:stop]]
+            top = np.maximum.reduceat(x, own)
+            x -= np.repeat(top, many)
+            e = np.exp(x)
+            mass = np.add.reduceat(e, own)
+            log = np.log(mass)
+            back[order[i:j]] = top + log
+            self.log[begin:stop] = x - np.repeat(log, many)
+            self.chance[begin:stop] = e / np.repeat(mass, many)
+        # Sums of the edges before and after an edge, by places in the state: never as a
+        # difference from 1, in which unlikely edges would be lost.
+        before, after = np.zeros(total), np.zeros(total)
+        most = int(count.max(initial=0))
+        have = [first[:-1][count > r] + r for r in range(most)]
+        for r in range(1, most):
+            before[have[r]] = before[have[r] - 1] + self.chance[have[r] - 1]
+        for r in range(most - 1, 0, -1):
+            after[have[r] - 1] = after[have[r]] + self.chance[have[r]]
+        with np.errstate(divide="ignore"):
+            self.others = np.log(before + after)
+        self.upto = before + self.chance
+        self.upto[first[1:] - 1] = 2.0  # whatever the rounding, a draw ends at the last edge
+        self.source = np.repeat(order, count)
+        begins = np.zeros(n, bool)
+        begins[self.start] = True
+        self.begins = begins[self.source]
+
+    def odds(self, edge: int, taken: int) -> tuple[int, np.ndarray]:
+        """The first edge beside ``edge``, and the chances of all but those ``taken``."""
+        s = self.source[edge]
+        e, odds = int(self.first[s]), self.chance[self.first[s] : self.first[s] + self.count[s]].copy()
+        odds[[x for x in range(len(odds)) if taken >> x & 1]] = 0
+        return e, odds
 
 
 class Paths:
-    """One segmentation of each document of a block: states and lengths of its decisions,
-    documents one after another."""
+    """One segmentation of each document of a block: its edges, documents one after another."""
 
-    __slots__ = ("length", "offset", "state")
+    __slots__ = ("edge", "offset")
 
-    def __init__(self, state, length, offset):
-        self.state, self.length, self.offset = state, length, offset
+    def __init__(self, edge, offset):
+        self.edge, self.offset = edge, offset
 
 
-def _walk(lat: Lattice, state: np.ndarray, stop: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sample each walk from its state to its segment's end. Returns decisions of all
-    walks in order (state, length - 1) and the number of decisions of each walk."""
-    n = len(state)
-    count, live, steps = np.zeros(n, np.int64), np.flatnonzero(state < stop), []
-    state = state.copy()
+def _walk(lat: Lattice, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sample each walk from its state to its segment's end. Returns the edges of all
+    walks in order, and how many each walk has."""
+    count, steps = np.zeros(len(state), np.int64), []
+    edge = lat.first[state]
+    live = np.flatnonzero(edge >= 0)
+    edge, seed = edge[live], seed[live]
     while len(live):
-        s = state[live]
         with np.errstate(over="ignore"):
-            u = uniform(seed[live] + count[live].astype(np.uint64) * M1)
-        row = lat.sums[s]
-        k = (row > (u * row[:, -1])[:, None]).argmax(1)  # u < 1, so there is one
-        steps.append((live, s, k))
-        count[live] += 1
-        state[live] = s + k + 1
-        live = live[state[live] < stop[live]]
+            u = uniform(seed + np.uint64(len(steps)) * M1)
+        miss = np.flatnonzero(u >= lat.upto[edge])
+        while len(miss):
+            edge[miss] += 1
+            miss = miss[u[miss] >= lat.upto[edge[miss]]]
+        steps.append((live, edge))
+        edge = lat.first[lat.next[edge]]
+        more = edge >= 0
+        count[live[~more]] = len(steps)
+        live, edge, seed = live[more], edge[more], seed[more]
     first = np.cumsum(count) - count
-    states, lengths = np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
-    for i, (who, s, k) in enumerate(steps):
-        states[first[who] + i], lengths[first[who] + i] = s, k
-    return states, lengths, count
+    out = np.empty(int(count.sum()), np.int32)
+    for i, (who, edge) in enumerate(steps):
+        out[first[who] + i] = edge
+    return out, count
 
 
 def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> list[list[tuple[float, float, float, np.ndarray]]]:
@@ -260,48 +300,38 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
         if not todo:
             break
         row_of[rank][todo] = np.arange(len(todo))
-        heads_s, heads_k, heads_taken, from_word, walk_state, walk_stop, walk_seed, n_walks = [], [], [], [], [], [], [], []
+        heads, heads_taken, walk_state, walk_seed, n_walks = [], [], [], [], []
         with np.errstate(over="ignore"):
             salt = key + np.uint64(rank + 1) * M3
             for d, part in zip(todo, parts, strict=True):
                 a, b = first_word[d], first_word[d + 1]
                 if part is None:
-                    head_s = head_k = np.empty(0, np.int64)
+                    head = np.empty(0, np.int32)
                     taken, begin = 0, a
                 else:
                     r, t, taken = part
                     old, i = rounds[r], row_of[r][d]
                     o = old.offset[i]
-                    s = int(old.state[o + t])
-                    odds = lat.chance[s].astype(np.float64)
-                    odds[[x for x in range(lat.width) if taken >> x & 1]] = 0
+                    first, odds = lat.odds(old.edge[o + t], taken)
                     u = float(uniform(salt[d : d + 1] ^ M2)[0])
                     new = int(np.searchsorted(np.cumsum(odds), u * odds.sum(), side="right"))
-                    new = min(new, int(np.flatnonzero(odds)[-1]))
-                    head_s = old.state[o : o + t + 1]
-                    head_k = np.append(old.length[o : o + t], new)
-                    # The word that decision t lies in: words begin where a state is a segment's start.
-                    begin = a + int((head_s == lat.start[np.searchsorted(lat.end, head_s, side="left")]).sum())
-                    walk_state.append(np.array([s + new + 1]))
-                    walk_stop.append(lat.end[words[begin - 1 : begin]])
+                    new = first + min(new, int(np.flatnonzero(odds)[-1]))
+                    head = np.append(old.edge[o : o + t], np.int32(new))
+                    begin = a + int(lat.begins[head].sum())  # past the word that decision t lies in
+                    walk_state.append(lat.next[new : new + 1])
                     walk_seed.append(salt[d : d + 1] + np.uint64(begin - 1 - a) * BASE + M2)
-                heads_s.append(head_s)
-                heads_k.append(head_k)
+                heads.append(head)
                 heads_taken.append(taken)
-                rest = words[begin:b]
-                walk_state.append(lat.start[rest])
-                walk_stop.append(lat.end[rest])
+                walk_state.append(lat.start[words[begin:b]])
                 walk_seed.append(salt[d] + word_at[begin:b].astype(np.uint64) * BASE)
-                n_walks.append(len(rest) + (part is not None))
-        states, lengths, count = _walk(lat, np.concatenate(walk_state), np.concatenate(walk_stop), np.concatenate(walk_seed))
-        walked = np.add.reduceat(np.append(count, 0), np.minimum(np.cumsum([0, *n_walks])[:-1], len(count))) * (np.array(n_walks) > 0)
-        cuts = np.concatenate([[0], np.cumsum(walked)])
-        state = np.concatenate([x for i in range(len(todo)) for x in (heads_s[i], states[cuts[i] : cuts[i + 1]])])
-        length = np.concatenate([x for i in range(len(todo)) for x in (heads_k[i], lengths[cuts[i] : cuts[i + 1]])])
-        n_heads = np.array([len(x) for x in heads_s])
-        offset = np.concatenate([[0], np.cumsum(n_heads + walked)])
-        log = np.log(lat.chance[state, length].astype(np.float64))
-        run = np.concatenate([[0.0], np.cumsum(log)])
+                n_walks.append(b - begin + (part is not None))
+        walked, count = _walk(lat, np.concatenate(walk_state), np.concatenate(walk_seed))
+        n_walked = np.add.reduceat(np.append(count, 0), np.minimum(np.cumsum([0, *n_walks])[:-1], len(count))) * (np.array(n_walks) > 0)
+        cuts = np.concatenate([[0], np.cumsum(n_walked)])
+        edge = np.concatenate([x for i in range(len(todo)) for x in (heads[i], walked[cuts[i] : cuts[i + 1]])])
+        n_heads = np.array([len(x) for x in heads])
+        offset = np.concatenate([[0], np.cumsum(n_heads + n_walked)])
+        run = np.concatenate([[0.0], np.cumsum(lat.log[edge])])
         n_todo = len(todo)
         bound = np.array(value)
         los = offset[:-1] + np.maximum(0, n_heads - 1)
@@ -313,13 +343,14 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
             begin = np.concatenate([[0], np.cumsum(n)])
             owner = np.repeat(np.arange(n_todo), n)
             at = np.arange(begin[-1]) - np.repeat(begin[:-1] - lo, n)
-            odds = lat.chance[state[at]]
-            odds[np.arange(len(at)), length[at]] = 0
+            others = lat.others[edge[at]]
             for i in range(n_todo):
                 if heads_taken[i] and n[i] and lo[i] == los[i]:
-                    odds[begin[i], [x for x in range(lat.width) if heads_taken[i] >> x & 1]] = 0
+                    first, odds = lat.odds(edge[lo[i]], heads_taken[i])
+                    odds[edge[lo[i]] - first] = 0
+                    others[begin[i]] = math.log(odds.sum()) if odds.any() else -math.inf
             with np.errstate(divide="ignore", over="ignore"):
-                mass = run[at] - run[offset[:-1]][owner] + np.log(odds.sum(1, dtype=np.float64))
+                mass = run[at] - run[offset[:-1]][owner] + others
                 noise = np.log(-np.log(uniform((salt[todo] ^ M1)[owner] + (at - offset[:-1][owner]).astype(np.uint64) * M2)))
                 over = mass - bound[owner]
                 g = np.where(mass > -np.inf, mass - np.logaddexp(noise, over), -np.inf)
@@ -328,29 +359,30 @@ def sample_block(keys: list[int], texts: list[str], k: int, v: Vocabulary) -> li
 
         his = np.minimum(offset[1:], los + NEAR)
         g, least, begin = values(los, his)
-        need, open_docs = k - rank, np.zeros(n_todo, bool)
+        need, ends = k - rank, his.copy()
         for i in range(n_todo):
             if his[i] < offset[i + 1]:
                 some = least[begin[i] : begin[i + 1]]
                 kth = np.partition(some, -need)[-need] if len(some) >= need else -np.inf
-                open_docs[i] = run[his[i]] - run[offset[i]] + NOISE_MOST >= kth
-        rest_g, _, rest_begin = values(his, np.where(open_docs, offset[1:], his))
-        rounds.append(Paths(state, length, offset))
+                far = run[his[i] : offset[i + 1]]  # falls from decision to decision
+                ends[i] += int(np.searchsorted(-far, NOISE_MOST - kth - run[offset[i]], side="right"))
+        rest_g, _, rest_begin = values(his, ends)
+        rounds.append(Paths(edge, offset))
         for i, d in enumerate(todo):
             lo, hi = int(los[i]), int(offset[i + 1])
             scores[d].append((float(run[hi] - run[offset[i]]), value[i]))
-            ids = lat.piece[state[offset[i] : hi], length[offset[i] : hi]]
+            ids = lat.piece[edge[offset[i] : hi]]
             if ids.size and ids.min() < 0:
                 ids = np.array([y for x in ids.tolist() for y in ([x] if x >= 0 else v.byte_ids[list(chr(-x - 2).encode("utf-8", "surrogatepass"))])], dtype=np.int32)
             out[d].append(ids)
             part = g[begin[i] : begin[i + 1]]
-            if open_docs[i]:
+            if ends[i] > his[i]:
                 part = np.concatenate([part, rest_g[rest_begin[i] : rest_begin[i + 1]]])
             best = np.argpartition(part, -need)[-need:] if len(part) > need else np.arange(len(part))
             for j in best.tolist():
                 if part[j] > -np.inf:
                     t = int(lo - offset[i]) + j
-                    mask = 1 << int(length[lo + j]) | (heads_taken[i] if n_heads[i] and t == n_heads[i] - 1 else 0)
+                    mask = 1 << int(edge[lo + j] - lat.first[lat.source[edge[lo + j]]]) | (heads_taken[i] if n_heads[i] and t == n_heads[i] - 1 else 0)
                     heapq.heappush(agenda[d], (-float(part[j]), rank, t, mask))
     result = []
     for d in range(n_docs):
