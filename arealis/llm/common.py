@@ -19,11 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     A temporary folder is set only where the setting is missing, as in local tests.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:  # the setting itself cannot be changed in a running session
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
