@@ -17,7 +17,7 @@ def _edges(nodes: DataFrame, weights: DataFrame, *columns: str) -> DataFrame:
     """weights with i_<column> and j_<column> of both ends."""
     a = nodes.select(F.col("id").alias("focal"), *[F.col(c).alias(f"i_{c}") for c in columns])
     b = nodes.select(F.col("id").alias("neighbor"), *[F.col(c).alias(f"j_{c}") for c in columns])
-    return weights.join(a, "focal").join(b, "neighbor")
+    return weights.join(a.hint("merge"), "focal").join(b.hint("merge"), "neighbor")
 
 
 def _one(*rows: DataFrame) -> DataFrame:
