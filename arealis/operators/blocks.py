@@ -34,3 +34,8 @@ def against_all(rows: DataFrame, points: DataFrame, solve: Callable[[pa.Table, p
 def arrays(table: pa.Table, *columns: str) -> list[np.ndarray]:
     """Columns as arrays; a null among doubles is a nan."""
     return [table[c].to_numpy() for c in columns]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for plans that read it more than once."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
